@@ -110,14 +110,22 @@ def remove_stop_words(tokens: Column, lang: str = "en", compat: bool = False,
         return F.filter(tokens, lambda t: ~F.array_contains(sw, t))
     sw = F.array(*[F.lit(w) for w in lx.VI_STOP_WORDS])
     cmp = F.array(*[F.lit(w) for w in (compounds if compounds is not None else VI_COMPOUNDS)])
-
-    def keep(t, i):
-        prev_pair = F.concat(F.get(tokens, i - 1), F.lit(" "), t)
-        next_pair = F.concat(t, F.lit(" "), F.get(tokens, i + 1))
-        protected = F.coalesce(F.array_contains(cmp, prev_pair), F.lit(False)) | \
-            F.coalesce(F.array_contains(cmp, next_pair), F.lit(False))
-        return (~F.array_contains(sw, t)) | protected
-    return F.filter(tokens, keep)
+    # Neighbours are zipped in first, so the lambdas below reference only
+    # their own arguments (the token expression may hold the NFC UDF, which
+    # cannot appear inside a lambda).
+    n = F.size(tokens)
+    none = F.array(F.lit(None).cast("string"))
+    prev = F.concat(none, F.slice(tokens, 1, F.greatest(n - 1, F.lit(0))))
+    nxt = F.concat(F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))), none)
+    trip = F.zip_with(F.zip_with(tokens, prev, lambda t, p: F.struct(t.alias("t"), p.alias("p"))),
+                      nxt, lambda s, x: F.struct(s.getField("t").alias("t"), s.getField("p").alias("p"), x.alias("n")))
+
+    def keep(z):
+        t = z.getField("t")
+        protected = F.coalesce(F.array_contains(cmp, F.concat(z.getField("p"), F.lit(" "), t)), F.lit(False)) | \
+            F.coalesce(F.array_contains(cmp, F.concat(t, F.lit(" "), z.getField("n"))), F.lit(False))
+        return t.isNotNull() & ((~F.array_contains(sw, t)) | protected)
+    return F.transform(F.filter(trip, keep), lambda z: z.getField("t"))
 
 
 def clean_tokens(c, lang: str = "en", compat: bool = False) -> Column:
@@ -247,3 +255,43 @@ def sql_py_strip(e: str) -> str:
 def sql_detect_language(e: str) -> str:
     return (f"CASE WHEN regexp_matches({e}, '[A-Za-z]') THEN "
             f"CASE WHEN regexp_matches({e}, '[{VI_MARKED_LETTERS}]') THEN 'vi' ELSE 'en' END ELSE 'vi' END")
+
+
+# ---- P16 post URLs -----------------------------------------------------------
+
+# FIXED VALUES: post-URL patterns and post-id patterns (first match wins).
+POST_URL_PATTERNS = [
+    r"facebook\.com/[^/]+/posts/[0-9]+",
+    r"facebook\.com/[^/]+/permalink/[0-9]+",
+    r"facebook\.com/[^/]+/photos/[^/]+/[0-9]+",
+    r"facebook\.com/photo\.php\?fbid=[0-9]+",
+    r"facebook\.com/[^/]+/videos/[0-9]+",
+    r"facebook\.com/video\.php\?v=[0-9]+",
+    r"facebook\.com/[^/]+\?story_fbid=[0-9]+",
+]
+POST_ID_PATTERNS = [
+    r"/posts/([0-9]+)",
+    r"/permalink/([0-9]+)",
+    r"\?story_fbid=([0-9]+)",
+    r"/photo\.php\?fbid=([0-9]+)",
+    r"/video\.php\?v=([0-9]+)",
+    r"/([0-9]+)/?(?:\?|$)",
+]
+
+
+def is_post_url(c) -> Column:
+    return F.coalesce(_c(c).rlike("|".join(f"(?:{p})" for p in POST_URL_PATTERNS)), F.lit(False))
+
+
+def post_id(c) -> Column:
+    c = _c(c)
+    return F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in POST_ID_PATTERNS])
+
+
+def sql_is_post_url(e: str) -> str:
+    pat = "|".join(f"(?:{p})" for p in POST_URL_PATTERNS)
+    return f"coalesce(regexp_matches({e}, '{pat}'), false)"
+
+
+def sql_post_id(e: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({e}, '{p}', 1), '')" for p in POST_ID_PATTERNS) + ")"

@@ -1,7 +1,7 @@
 """Imports every query module so the registry is complete."""
 from __future__ import annotations
 
-from . import q_dataset, q_features, q_sampling, q_text  # noqa: F401
+from . import q_dataset, q_evaluate, q_features, q_sampling, q_text  # noqa: F401
 from .registry import REGISTRY
 
 

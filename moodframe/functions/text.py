@@ -71,9 +71,16 @@ def strip_tags(c) -> Column:                      # X1
     return F.regexp_replace(_c(c), TAG, "")
 
 
+# Marked nondeterministic on purpose: it keeps filters that use the cleaned
+# text from being pushed below a repartition into the scan task (the cleaner
+# is the expensive step and must run after rows are spread), and stops the
+# optimizer from inlining the UDF call twice.
+_nfc_once = _nfc_udf.asNondeterministic()
+
+
 def nfc(c) -> Column:                             # X2
     c = _c(c)
-    return F.coalesce(_nfc_udf(F.when(c.rlike(NEEDS_NFC), c)), c)
+    return F.coalesce(_nfc_once(F.when(c.rlike(NEEDS_NFC), c)), c)
 
 
 def strip_accents(c) -> Column:

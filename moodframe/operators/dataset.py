@@ -110,13 +110,14 @@ def preprocess(df: DataFrame, lang: str = "en", text_col: str = "text",
 
 
 def class_counts(df: DataFrame, label_col: str = "label", labels=LABELS) -> DataFrame:
-    """A1: rows per class, absent classes as 0. The 3-row label table is
-    broadcast; the aggregation is partial (map-side) before its shuffle."""
+    """A1: rows per class, absent classes as 0 (a zero row per class is
+    unioned in before the final aggregate; no join). The aggregation is
+    partial (map-side) before its shuffle."""
     spark = df.sparkSession
-    dim = F.broadcast(spark.createDataFrame([(x,) for x in labels], f"{label_col} INT"))
+    zeros = spark.createDataFrame([(x, 0) for x in labels], f"{label_col} INT, n BIGINT")
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
-    return (dim.join(counts, label_col, "left")
-               .select(F.col(label_col), F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    return (counts.unionByName(zeros).groupBy(label_col).agg(F.sum("n").cast("bigint").alias("n"))
+                  .filter(F.col(label_col).isin(list(labels))))
 
 
 def class_proportions(df: DataFrame, label_col: str = "label") -> DataFrame:

@@ -83,10 +83,15 @@ def nfc(c) -> Column:                             # X2
     return F.coalesce(_nfc_once(F.when(c.rlike(NEEDS_NFC), c)), c)
 
 
+_nfkd_strip_once = _nfkd_strip_udf.asNondeterministic()
+
+
 def strip_accents(c) -> Column:
-    """NFKD then drop combining marks (only rows that have non-ASCII)."""
+    """NFKD then drop combining marks (only rows that have non-ASCII).
+    Nondeterministic for the same reason as ``nfc``: evaluated once, in its
+    own projection, never inlined into a lambda."""
     c = _c(c)
-    return F.coalesce(_nfkd_strip_udf(F.when(c.rlike(r"[^\x{0}-\x{7F}]"), c)), c)
+    return F.coalesce(_nfkd_strip_once(F.when(c.rlike(r"[^\x{0}-\x{7F}]"), c)), c)
 
 
 def non_word_to_space(c) -> Column:               # X3

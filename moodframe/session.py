@@ -36,6 +36,9 @@ def get_spark(app: str = "moodframe", master: str | None = None,
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    # Heap for a locally launched driver JVM (ignored when a cluster manager
+    # or an already running JVM decides it).
+    conf.setdefault("spark.driver.memory", os.environ.get("MOODFRAME_DRIVER_MEMORY", "8g"))
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)

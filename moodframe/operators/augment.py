@@ -168,3 +168,20 @@ def quota_table(df_n: DataFrame, topic_weights: dict, sentiment_ratios: dict) ->
             rows.append(F.struct(F.lit(t).alias("topic"), F.lit(s).alias("sentiment"),
                                  F.floor(F.floor(F.col("N") * tw) * sr).cast("long").alias("count")))
     return df_n.select(F.explode(F.array(*rows)).alias("q")).select("q.*")
+
+
+# Own small informal-variant table (word -> variants; the first is used).
+VARIANTS = {"you": ["u", "ya"], "are": ["r"], "the": ["da"], "and": ["n", "nd"], "to": ["2"], "for": ["4"]}
+
+
+def variant_lookup(words: Column) -> Column:
+    """Each word replaced by its first informal variant when it has one
+    (a broadcast-free map literal lookup inside transform)."""
+    m = F.create_map(*[x for k, v in VARIANTS.items() for x in (F.lit(k), F.lit(v[0]))])
+    return F.transform(words, lambda w: F.coalesce(F.element_at(m, F.lower(w)), w))
+
+
+def keep_deletion(words: Column, key: Column, seed: int = 42, keep: float = 0.9) -> Column:
+    """Each word kept when u01(key, i) < keep; nothing left -> original."""
+    kept = F.filter(words, lambda w, i: hz.u01(key, seed, "g14", i) < keep)
+    return F.when(F.size(kept) == 0, words).otherwise(kept)

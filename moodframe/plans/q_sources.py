@@ -72,8 +72,10 @@ def _market_json(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     star = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(1 + F.col("doc_id") % 5)
     comment = F.when(F.col("doc_id") % 11 == 0, F.lit("  ")).otherwise(F.substring("text", 1, 80))
-    r = d.groupBy("source").agg(F.collect_list(F.struct(star.cast("int").alias("rating_star"), comment.alias("comment"))).alias("ratings"))
-    return r.select("source", F.to_json(F.struct(F.struct("ratings").alias("data"))).alias("json"))
+    # One response page per (source, block of 50 documents): pages are bounded.
+    r = d.groupBy("source", (F.col("doc_id") / 50).cast("long").alias("page")).agg(
+        F.collect_list(F.struct(star.cast("int").alias("rating_star"), comment.alias("comment"))).alias("ratings"))
+    return r.select("source", "page", F.to_json(F.struct(F.struct("ratings").alias("data"))).alias("json"))
 
 
 @register("s7_y9_marketplace_json", """
@@ -81,8 +83,7 @@ SELECT source, substring(text, 1, 80) AS text,
   CAST(CASE WHEN doc_id % 7 = 0 THEN 0 WHEN 1 + doc_id % 5 > 3 THEN 2 WHEN 1 + doc_id % 5 < 3 THEN 0 ELSE 1 END AS INTEGER) AS label
 FROM documents WHERE doc_id % 11 <> 0 AND regexp_replace(substring(text, 1, 80), '^[\\t\\n\\x0B\\f\\r\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+|[\\t\\n\\x0B\\f\\r\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+$', '', 'g') <> ''""")
 def s7_marketplace_json(spark, sf_dir):
-    """Per-source response documents: bounded here by the number of
-    documents per source in one response, as a real API page is."""
+    """Paginated per-source response documents (at most 50 ratings each)."""
     j = _market_json(spark, sf_dir).withColumnRenamed("source", "src")
     return rd.flatten_marketplace(j, "json", "src").select(F.col("src").alias("source"), "text", "label")
 
@@ -92,9 +93,12 @@ SELECT conv_id, CAST(turn AS INTEGER) AS pos, coalesce(CASE WHEN turn % 5 = 4 TH
 def s8_thread_json(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     msg = F.when(F.col("turn") % 5 == 4, F.lit(None)).otherwise(F.substring("text", 1, 60))
-    j = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", msg.alias("message")))).alias("d"))
-    j = j.select("conv_id", F.to_json(F.struct(F.transform("d", lambda x: F.struct(x.getField("message").alias("message"))).alias("data"))).alias("json"))
-    return rd.flatten_thread(j, "json", "conv_id").select("conv_id", F.col("pos").cast("int"), "text")
+    # One thread page per (conversation, block of 50 turns).
+    j = c.groupBy("conv_id", (F.col("turn") / 50).cast("long").alias("page")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", msg.alias("message")))).alias("d"))
+    j = j.select("conv_id", "page", F.to_json(F.struct(F.transform("d", lambda x: F.struct(x.getField("message").alias("message"))).alias("data"))).alias("json"))
+    f = rd.flatten_thread(j.withColumn("k", F.struct("conv_id", "page")), "json", "k")
+    return f.select(F.col("k.conv_id").alias("conv_id"), (F.col("k.page") * 50 + F.col("pos")).cast("int").alias("pos"), "text")
 
 
 @register("s9_u2_union_files", f"""
@@ -135,8 +139,9 @@ def s13_metric_snapshot(spark, sf_dir):
     """Per client, a snapshot document with parallel arrays (request times,
     latencies), written as JSON, read back and exploded."""
     e = table(spark, sf_dir, "events")
-    snap = e.groupBy("user_id").agg(F.collect_list(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("t"),
-                                                            F.col("value").alias("v"), "event_id")).alias("x"))
+    # One snapshot per (client, block of 100 events): bounded documents.
+    snap = e.groupBy("user_id", (F.col("event_id") / 100).cast("long").alias("blk")).agg(
+        F.collect_list(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("t"), F.col("value").alias("v"), "event_id")).alias("x"))
     snap = snap.select("user_id", F.transform("x", lambda s: s.getField("t")).alias("requests"),
                        F.transform("x", lambda s: s.getField("v")).alias("response_times"))
     path = scratch_path(spark, "s13")

@@ -20,13 +20,15 @@ def label_from_flags(quality="quality", toxic="toxic") -> Column:
     return F.when(t == 1, 0).when(q == 1, 2).otherwise(1).cast("int")
 
 
-def labelled_documents(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
+def labelled_documents(spark: SparkSession, sf_dir: str, how: str = "inner", with_text: bool = True) -> DataFrame:
     """documents joined to labels on doc_id with the 3-class label.
 
     ``labels`` is a fraction of ``documents``; the join is a shuffle join on
     doc_id at scale (AQE turns it into a broadcast when the runtime size of
     labels is small)."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread_text=with_text)
+    if not with_text:
+        docs = docs.drop("text")
     labels = table(spark, sf_dir, "labels")
     df = docs.join(labels, "doc_id", how)
     return df.withColumn("label", F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(),

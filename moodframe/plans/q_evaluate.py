@@ -36,7 +36,7 @@ def _probs(k):
 
 
 def scored(spark, sf_dir):
-    d = ds.labelled_documents(spark, sf_dir).select("doc_id", "label", "lang")
+    d = ds.labelled_documents(spark, sf_dir, with_text=False).select("doc_id", "label", "lang")
     for k in range(1, K + 1):
         d = d.withColumn(f"p{k}", _pred(k))
     d = d.select("*", *[_probs(k).alias(f"probs{k}") for k in range(1, K + 1)])

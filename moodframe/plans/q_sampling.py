@@ -12,7 +12,7 @@ from .sqlparts import LABELLED_DOCS, round_doubles
 
 
 def _docs(spark, sf_dir):
-    return ds.labelled_documents(spark, sf_dir).select("doc_id", "label")
+    return ds.labelled_documents(spark, sf_dir, with_text=False).select("doc_id", "label")
 
 
 def _ranked_sql(salt):

@@ -24,9 +24,10 @@ TEXT_TABLES = {"documents", "pages", "conversations"}
 SPREAD_FACTOR = 3
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread_text: bool = True) -> DataFrame:
+    """``spread_text=False`` for jobs that never read the text columns."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    if name in TEXT_TABLES:
+    if name in TEXT_TABLES and spread_text:
         df = spread(df)
     return df
 

@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..operators import dataset as ds
 from ..operators import sampling as sm
 from ..operators import tfidf as tf
+from ..session import materialize
 from ..sources.tables import table
 from .registry import register
 from .sqlparts import LABELLED_DOCS, r6, round_doubles
@@ -69,14 +70,16 @@ def word_model(spark, sf_dir, n_max=3, k=2000, min_df=2, max_df=0.95):
     d = _docs(spark, sf_dir)
     n = d.count()
     toks = d.select("doc_id", tf.word_tokens(F.col("text")).alias("toks"))
-    counts = tf.term_counts(toks, "doc_id", tf.word_ngrams(F.col("toks"), 1, n_max))
+    # The counts feed the vocabulary, the weights and the models: computed
+    # once and kept in the shared checkpoint folder (lineage cut too).
+    counts = materialize(tf.term_counts(toks, "doc_id", tf.word_ngrams(F.col("toks"), 1, n_max)), "word-counts")
     return counts, tf.vocabulary(counts, n, k, min_df, max_df)
 
 
 def char_model(spark, sf_dir, k=500):
     d = _docs(spark, sf_dir)
     n = d.count()
-    counts = tf.term_counts(d, "doc_id", tf.char_ngrams(F.col("text")))
+    counts = materialize(tf.term_counts(d, "doc_id", tf.char_ngrams(F.col("text"))), "char-counts")
     return counts, tf.vocabulary(counts, n, k, 1, 1.0)
 
 

@@ -57,10 +57,16 @@ def trailing_rate(req: DataFrame, seconds: int, key: str = "client") -> DataFram
 
 
 def anchored_since(req: DataFrame, seconds: float) -> DataFrame:
-    """Y2 + W3: rows with ts >= max(ts) - seconds (max from a 1-row aggregate)."""
-    mx = req.agg(F.max("ts").alias("_mx"))
-    cut = mx.select((F.col("_mx") - F.make_dt_interval(secs=F.lit(seconds))).alias("_cut"))
-    return req.join(F.broadcast(cut), F.col("ts") >= F.col("_cut")).drop("_cut")
+    """Y2 + W3: rows with ts >= max(ts) - seconds. The anchor is a one-row
+    aggregate (served from Parquet footers when aggregate pushdown applies);
+    the cutoff then filters as a literal, so it reaches the scan as a pushed
+    filter and prunes row groups."""
+    import datetime as _dt
+    mx = req.agg(F.max("ts")).first()[0]
+    if mx is None:
+        return req.limit(0)
+    cut = mx - _dt.timedelta(seconds=seconds)
+    return req.filter(F.col("ts") >= F.lit(cut.isoformat(sep=" ")).cast("timestamp_ntz"))
 
 
 def windowed(req: DataFrame, period: str) -> DataFrame:

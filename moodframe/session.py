@@ -20,6 +20,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # MIN/MAX/COUNT answered from Parquet footers where possible.
+    "spark.sql.parquet.aggregatePushdown": "true",
     # Broadcast joins only below this size; anything larger takes the
     # shuffle path. The explicit broadcast() calls in this library are on
     # tables whose size is bounded by construction (dimensions, lexicons).

@@ -185,3 +185,26 @@ def keep_deletion(words: Column, key: Column, seed: int = 42, keep: float = 0.9)
     """Each word kept when u01(key, i) < keep; nothing left -> original."""
     kept = F.filter(words, lambda w, i: hz.u01(key, seed, "g14", i) < keep)
     return F.when(F.size(kept) == 0, words).otherwise(kept)
+
+
+# Keyboard neighbours built by rule: left and right key on the same QWERTY row.
+KEY_ROWS = ["qwertyuiop", "asdfghjkl", "zxcvbnm"]
+KEY_NEIGHBOURS = {r[i]: "".join(x for x in (r[i - 1] if i > 0 else "", r[i + 1] if i + 1 < len(r) else "") if x)
+                  for r in KEY_ROWS for i in range(len(r))}
+
+
+def apply_typos(words: Column, key: Column, seed: int = 42, rate: float = 0.3) -> Column:
+    """Each word of 4+ characters, with probability ``rate``, gets one
+    non-first character replaced by a keyboard neighbour (when the
+    character has one)."""
+    nb = F.create_map(*[x for k, v in KEY_NEIGHBOURS.items() for x in (F.lit(k), F.lit(v))])
+
+    def typo(w, i):
+        pos = F.floor(hz.u01(key, seed, "g8p", i) * (F.length(w) - 1)).cast("int") + 1
+        cur = F.lower(F.substring(w, pos + 1, 1))
+        cands = F.element_at(nb, cur)
+        ch = F.substring(cands, F.floor(hz.u01(key, seed, "g8c", i) * F.length(cands)).cast("int") + 1, 1)
+        new = F.concat(F.substring(w, 1, pos), ch, F.substring(w, pos + 2, 1_000_000))
+        hit = (F.length(w) >= 4) & (hz.u01(key, seed, "g8", i) <= rate) & cands.isNotNull()
+        return F.when(hit, new).otherwise(w)
+    return F.transform(words, typo)

@@ -92,3 +92,21 @@ SELECT doc_id, md5(array_to_string(CASE WHEN len(kept) = 0 THEN w ELSE kept END,
 def g14_keep_deletion(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", tx.split_ws(F.col("text")).alias("w"))
     return d.select("doc_id", F.md5(F.array_join(ag.keep_deletion(F.col("w"), F.col("doc_id")), " ")).alias("aug_md5"))
+
+
+def _g8_sql():
+    u = lambda salt: hz.sql_u01("doc_id", 42, salt, "i - 1")
+    pos = f"(CAST(floor({u('g8p')} * (length(x) - 1)) AS INTEGER) + 1)"
+    cur = f"lower(substring(x, {pos} + 1, 1))"
+    cands = "CASE " + cur + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ag.KEY_NEIGHBOURS.items()) + " END"
+    ch = f"substring({cands}, CAST(floor({u('g8c')} * length({cands})) AS INTEGER) + 1, 1)"
+    new = f"substring(x, 1, {pos}) || {ch} || substring(x, {pos} + 2)"
+    return f"""WITH d AS (SELECT doc_id, {tx.sql_split_ws('text')} AS w FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5(array_to_string(list_transform(w, lambda x, i: CASE WHEN length(x) >= 4 AND {u('g8')} <= 0.3 AND ({cands}) IS NOT NULL
+  THEN {new} ELSE x END), ' ')) AS aug_md5 FROM d"""
+
+
+@register("g8_keyboard_typos", _g8_sql())
+def g8_keyboard_typos(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", tx.split_ws(F.col("text")).alias("w"))
+    return d.select("doc_id", F.md5(F.array_join(ag.apply_typos(F.col("w"), F.col("doc_id")), " ")).alias("aug_md5"))

@@ -50,10 +50,22 @@ def rolling_last_n(req: DataFrame, n: int = 100, key: str = "client") -> DataFra
     return req.withColumn("rolling_avg_latency", F.avg("latency").over(w))
 
 
-def trailing_rate(req: DataFrame, seconds: int, key: str = "client") -> DataFrame:
-    """Per event, the client's events in the trailing ``seconds`` / seconds."""
-    w = Window.partitionBy(key).orderBy(epoch_seconds("ts")).rangeBetween(-seconds, 0)
-    return req.withColumn("rate", F.count(F.lit(1)).over(w) / F.lit(float(seconds)))
+def trailing_rate(req: DataFrame, seconds: int, key: str = "client", id_col: str = "event_id") -> DataFrame:
+    """Per event, the client's events in the trailing ``seconds`` / seconds.
+
+    Exact without a client-wide window: time is cut into buckets of
+    ``seconds``; every row is also copied into the next bucket as a halo, so
+    each (client, bucket) partition holds everything its own rows' windows
+    can reach; only the bucket's own rows are kept. A hot client is spread
+    over its buckets."""
+    t = epoch_seconds("ts")
+    b = F.floor(t / seconds).cast("long")
+    base = req.withColumn("_t", t).withColumn("_b", b)
+    halo = base.withColumn("_own", F.lit(True)).unionByName(
+        base.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False)))
+    w = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(-seconds, 0)
+    out = halo.withColumn("rate", F.count(F.lit(1)).over(w) / F.lit(float(seconds)))
+    return out.filter("_own").drop("_t", "_b", "_own")
 
 
 def anchored_since(req: DataFrame, seconds: float) -> DataFrame:

@@ -101,42 +101,50 @@ def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int, buck
     return cand.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k).drop("_bk", "_r1")
 
 
-def status_segments(df: DataFrame, key: str, ts: str, tiebreak: str, available: str,
-                    bucket_seconds: int = 86400) -> DataFrame:
-    """A new segment starts at every available -> unavailable change.
-
-    Prefix count of changes in two levels: within (key, time bucket) by a
-    window, plus an offset per bucket from a window over the small
-    (key, bucket) table, including the change across the bucket border."""
+def two_level_prefix(df: DataFrame, key: str, ts: str, tiebreak: str, carry: list[str], flag_fn,
+                     out: str, start: int = 0, bucket_seconds: int = 86400) -> DataFrame:
+    """Running count per key of rows where ``flag_fn(prev, cur)`` holds,
+    ``prev`` being the key's previous row (by ts, tiebreak) — computed
+    without a key-wide window:
+
+    1. rows are bucketed by (key, time bucket); ``lag`` inside a bucket gives
+       the previous row, and for a bucket's first row the last row of the
+       key's previous non-empty bucket comes from a small (key, bucket)
+       table;
+    2. flags are summed inside the bucket, and each bucket's offset is a
+       cumulative sum over the small table.
+    ``carry`` are the columns ``flag_fn`` reads from ``prev``/``cur``."""
     d = df.withColumn("_bk", F.floor(epoch_seconds(ts) / bucket_seconds).cast("long"))
     wi = Window.partitionBy(key, "_bk").orderBy(ts, tiebreak)
-    d = d.withColumn("_prev", F.lag(available).over(wi))
-    d = d.withColumn("_chg", (F.coalesce(F.col("_prev"), F.lit(False)) & ~F.col(available)).cast("long"))
-    d = d.withColumn("_local", F.sum("_chg").over(wi.rowsBetween(Window.unboundedPreceding, 0)))
-    first_last = d.groupBy(key, "_bk").agg(
-        F.min_by(available, F.struct(ts, tiebreak)).alias("_first"),
-        F.max_by(available, F.struct(ts, tiebreak)).alias("_last"),
-        F.sum("_chg").alias("_n"))
+    lasts = d.groupBy(key, "_bk").agg(F.max_by(F.struct(*carry), F.struct(ts, tiebreak)).alias("_last"))
     wb = Window.partitionBy(key).orderBy("_bk")
-    first_last = first_last.withColumn("_prev_last", F.lag("_last").over(wb))
-    first_last = first_last.withColumn(
-        "_border", (F.coalesce(F.col("_prev_last"), F.lit(False)) & ~F.col("_first")).cast("long"))
-    first_last = first_last.withColumn(
-        "_off", F.coalesce(F.sum(F.col("_n") + F.col("_border")).over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        + F.col("_border"))
-    out = d.join(first_last.select(key, "_bk", "_off"), [key, "_bk"])
-    return out.withColumn("segment", F.col("_off") + F.col("_local")).drop("_bk", "_prev", "_chg", "_local", "_off")
-
-
-def gap_sessions(df: DataFrame, key: str, ts: str, tiebreak: str, gap_seconds: int) -> DataFrame:
-    """Session number per key: a gap >= ``gap_seconds`` since the previous
-    event starts a new session (unlike session_window, which merges an event
-    exactly ``gap`` later)."""
-    w = Window.partitionBy(key).orderBy(ts, tiebreak)
-    prev = F.lag(epoch_seconds(ts)).over(w)
-    start = F.when(prev.isNull() | (epoch_seconds(ts) - prev >= gap_seconds), 1).otherwise(0)
-    d = df.withColumn("_start", start)
-    return d.withColumn("session", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
+    lasts = lasts.select(key, "_bk", F.lag("_last").over(wb).alias("_prev_last"))
+    d = d.join(lasts, [key, "_bk"])
+    prev = {c: F.coalesce(F.lag(c).over(wi), F.when(F.row_number().over(wi) == 1, F.col("_prev_last").getField(c))) for c in carry}
+    cur = {c: F.col(c) for c in carry}
+    d = d.withColumn("_flag", flag_fn(prev, cur).cast("long"))
+    d = d.withColumn("_local", F.sum("_flag").over(wi.rowsBetween(Window.unboundedPreceding, 0)))
+    tot = d.groupBy(key, "_bk").agg(F.sum("_flag").alias("_n"))
+    tot = tot.select(key, "_bk", F.coalesce(F.sum("_n").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    d = d.join(tot, [key, "_bk"])
+    return d.withColumn(out, F.col("_off") + F.col("_local") + F.lit(start)).drop("_bk", "_prev_last", "_flag", "_local", "_off")
+
+
+def status_segments(df: DataFrame, key: str, ts: str, tiebreak: str, available: str,
+                    bucket_seconds: int = 86400) -> DataFrame:
+    """A new segment starts at every available -> unavailable change."""
+    flag = lambda p, c: F.coalesce(p[available], F.lit(False)) & ~c[available]
+    return two_level_prefix(df, key, ts, tiebreak, [available], flag, "segment", 0, bucket_seconds)
+
+
+def gap_sessions(df: DataFrame, key: str, ts: str, tiebreak: str, gap_seconds: int,
+                 bucket_seconds: int = 86400) -> DataFrame:
+    """Session number per key (from 1): a gap >= ``gap_seconds`` since the
+    previous event starts a new session (unlike session_window, which merges
+    an event exactly ``gap`` later)."""
+    d = df.withColumn("_t", epoch_seconds(ts))
+    flag = lambda p, c: p["_t"].isNull() | (c["_t"] - p["_t"] >= gap_seconds)
+    return two_level_prefix(d, key, ts, tiebreak, ["_t"], flag, "session", 0, bucket_seconds).drop("_t")
 
 
 def admission_by_session(req: DataFrame, calls: int, period_seconds: int, key: str = "client") -> DataFrame:

@@ -44,10 +44,23 @@ def last_n(req: DataFrame, n: int = 100) -> DataFrame:
     return req.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(n)
 
 
-def rolling_last_n(req: DataFrame, n: int = 100, key: str = "client") -> DataFrame:
-    """W1 per-event form: mean latency over the client's last n events."""
-    w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(-(n - 1), 0)
-    return req.withColumn("rolling_avg_latency", F.avg("latency").over(w))
+def rolling_last_n(req: DataFrame, n: int = 100, key: str = "client", value: str = "latency",
+                   block: int = 10_000) -> DataFrame:
+    """W1 per-event form: sum, count and mean of ``value`` over the client's
+    last n events (ts, event_id order).
+
+    Each client's rows are numbered with ``two_level_prefix`` (no
+    client-wide window), cut into blocks of ``block`` rows, and the last
+    n - 1 rows of a block are copied into the next block as a halo; the ROWS
+    window then runs per (client, block)."""
+    idx = two_level_prefix(req, key, "ts", "event_id", ["event_id"], lambda p, c: F.lit(True), "_idx", 0)
+    idx = idx.withColumn("_blk", ((F.col("_idx") - 1) / block).cast("long"))
+    halo = idx.filter(((F.col("_idx") - 1) % block) >= block - (n - 1)).withColumn("_blk", F.col("_blk") + 1)
+    both = idx.withColumn("_own", F.lit(True)).unionByName(halo.withColumn("_own", F.lit(False)))
+    w = Window.partitionBy(key, "_blk").orderBy("_idx").rowsBetween(-(n - 1), 0)
+    out = both.select("*", F.sum(value).over(w).alias("rolling_sum"), F.count(F.lit(1)).over(w).alias("rolling_n"))
+    out = out.withColumn("rolling_avg", F.col("rolling_sum") / F.col("rolling_n"))
+    return out.filter("_own").drop("_idx", "_blk", "_own")
 
 
 def trailing_rate(req: DataFrame, seconds: int, key: str = "client", id_col: str = "event_id") -> DataFrame:

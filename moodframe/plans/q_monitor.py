@@ -45,11 +45,9 @@ SELECT event_id, client,
 def w1_rolling_last_n_per_client(spark, sf_dir):
     """Rolling sums over the client's last 100 events, in exact integer
     cents (the mean is sum / n)."""
-    from pyspark.sql import Window
     r = _req(spark, sf_dir).withColumn("cents", F.round(F.col("latency") * 100).cast("bigint"))
-    w = Window.partitionBy("client").orderBy("ts", "event_id").rowsBetween(-99, 0)
-    return r.select("event_id", "client", F.sum("cents").over(w).alias("rolling_sum_cents"),
-                    F.count(F.lit(1)).over(w).alias("rolling_n"))
+    out = mo.rolling_last_n(r, 100, "client", "cents", block=500)
+    return out.select("event_id", "client", F.col("rolling_sum").alias("rolling_sum_cents"), "rolling_n")
 
 
 @register("w2_trailing_rate_per_client", f"""WITH r AS ({REQ_SQL})

@@ -63,3 +63,23 @@ def test_status_segments_bruteforce(spark):
         ref.append(seg)
         prev = a
     assert got == ref
+
+
+def test_rolling_last_n_halo_bruteforce(spark):
+    rows = [(c, c * 1000 + i, T0 + dt.timedelta(hours=i * 7 + c), float((i * 37 + c) % 11)) for c in (1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "client LONG, event_id LONG, ts TIMESTAMP_NTZ, latency DOUBLE")
+    got = {r.event_id: (r.rolling_sum, r.rolling_n) for r in mo.rolling_last_n(df, 5, block=7).collect()}
+    for c in (1, 2):
+        seq = sorted([r for r in rows if r[0] == c], key=lambda r: (r[2], r[1]))
+        for k, r in enumerate(seq):
+            win = seq[max(0, k - 4):k + 1]
+            assert got[r[1]] == (sum(x[3] for x in win), len(win))
+
+
+def test_trailing_rate_halo_bruteforce(spark):
+    rows = [(1, i, T0 + dt.timedelta(minutes=13 * i), 1.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "client LONG, event_id LONG, ts TIMESTAMP_NTZ, latency DOUBLE")
+    got = {r.event_id: r.rate for r in mo.trailing_rate(df, 3600).collect()}
+    for _, eid, t, _ in rows:
+        n = sum(1 for _, _, u, _ in rows if t - dt.timedelta(seconds=3600) <= u <= t)
+        assert abs(got[eid] - n / 3600.0) < 1e-12

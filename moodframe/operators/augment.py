@@ -208,3 +208,12 @@ def apply_typos(words: Column, key: Column, seed: int = 42, rate: float = 0.3) -
         hit = (F.length(w) >= 4) & (hz.u01(key, seed, "g8", i) <= rate) & cands.isNotNull()
         return F.when(hit, new).otherwise(w)
     return F.transform(words, typo)
+
+
+def fill_placeholders(template: Column, fillers: Column) -> Column:
+    """Every ``{name}`` in the template replaced by fillers[name], an
+    unknown name by ''. The placeholders are scanned with one regex and
+    folded with ``aggregate``."""
+    names = F.regexp_extract_all(template, F.lit(r"\{([A-Za-z0-9_]+)\}"), 1)
+    return F.aggregate(names, template, lambda acc, p: F.replace(
+        acc, F.concat(F.lit("{"), p, F.lit("}")), F.coalesce(F.element_at(fillers, p), F.lit(""))))

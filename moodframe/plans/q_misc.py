@@ -110,3 +110,20 @@ SELECT doc_id, md5(array_to_string(list_transform(w, lambda x, i: CASE WHEN leng
 def g8_keyboard_typos(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", tx.split_ws(F.col("text")).alias("w"))
     return d.select("doc_id", F.md5(F.array_join(ag.apply_typos(F.col("w"), F.col("doc_id")), " ")).alias("aug_md5"))
+
+
+Y10_TEMPLATE = "Doc {id} in {lang}: the {item} was {adverb} {unknown}."
+
+
+@register("y10_placeholder_fill", f"""SELECT doc_id,
+  regexp_replace(replace(replace(replace(replace('{Y10_TEMPLATE}', '{{id}}', CAST(doc_id AS VARCHAR)), '{{lang}}', lang),
+    '{{item}}', {lx.sql_str_list(ag.FILLERS['item'])}[{hz.sql_pick_index(str(len(ag.FILLERS['item'])), 'doc_id', 42, 'y10i')} + 1]),
+    '{{adverb}}', {lx.sql_str_list(ag.FILLERS['adverb'])}[{hz.sql_pick_index(str(len(ag.FILLERS['adverb'])), 'doc_id', 42, 'y10a')} + 1]),
+    '\\{{[A-Za-z0-9_]+\\}}', '', 'g') AS filled FROM documents""")
+def y10_placeholder_fill(spark, sf_dir):
+    d = table(spark, sf_dir, "documents", spread_text=False).select("doc_id", "lang")
+    item = F.element_at(F.array(*[F.lit(x) for x in ag.FILLERS["item"]]), hz.pick_index(len(ag.FILLERS["item"]), F.col("doc_id"), 42, "y10i") + 1)
+    adv = F.element_at(F.array(*[F.lit(x) for x in ag.FILLERS["adverb"]]), hz.pick_index(len(ag.FILLERS["adverb"]), F.col("doc_id"), 42, "y10a") + 1)
+    fillers = F.create_map(F.lit("id"), F.col("doc_id").cast("string"), F.lit("lang"), F.col("lang"),
+                           F.lit("item"), item, F.lit("adverb"), adv)
+    return d.select("doc_id", ag.fill_placeholders(F.lit(Y10_TEMPLATE), fillers).alias("filled"))

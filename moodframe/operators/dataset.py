@@ -138,3 +138,12 @@ def dedup_keep_first(df: DataFrame, key_cols, order_col: str) -> DataFrame:
     others = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.col(order_col)).alias("_r"))
     return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
+
+
+def features_and_labels(df: DataFrame, text_col: str = "cleaned_text", label_col: str = "label") -> DataFrame:
+    """P5: rows with a valid label, projected to (text, label); raises when
+    none is valid (a one-row probe, not a count)."""
+    out = df.filter(F.col(label_col).isin(LABELS)).select(text_col, label_col)
+    if out.isEmpty():
+        raise ValueError("no rows with a valid label")
+    return out

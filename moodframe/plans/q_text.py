@@ -88,9 +88,9 @@ WHERE label IN (0, 1, 2) AND text IS NOT NULL
 """)
 def p5_features_and_labels(spark, sf_dir):
     d = ds.labelled_documents(spark, sf_dir).filter(F.col("text").isNotNull())
-    out = d.filter(F.col("label").isin(ds.LABELS)).select(
-        "doc_id", tx.clean_text(F.col("text")).alias("cleaned_text"), "label")
-    return out
+    c = d.select("doc_id", tx.clean_text(F.col("text")).alias("cleaned_text"), "label")
+    ds.features_and_labels(c)  # raises when no row has a valid label
+    return c.filter(F.col("label").isin(ds.LABELS))
 
 
 @register("p6_default_neutral", f"""

@@ -38,3 +38,12 @@ def test_dedup_keep_first(spark):
     df = spark.createDataFrame([(3, "a", "x"), (1, "a", "y"), (2, "b", "z")], "id INT, text STRING, v STRING")
     got = sorted((r.text, r.id, r.v) for r in ds.dedup_keep_first(df, "text", "id").collect())
     assert got == [("a", 1, "y"), ("b", 2, "z")]
+
+
+def test_features_and_labels_raises_when_empty(spark):
+    import pytest
+    ok = spark.createDataFrame([("abcd", 1), ("efgh", 7)], "cleaned_text STRING, label INT")
+    assert ds.features_and_labels(ok).count() == 1
+    bad = spark.createDataFrame([("abcd", 7)], "cleaned_text STRING, label INT")
+    with pytest.raises(ValueError):
+        ds.features_and_labels(bad)

@@ -27,11 +27,18 @@ def word_tokens(text: Column) -> Column:
 
 
 def word_ngrams(tokens: Column, n_min: int = 1, n_max: int = 3) -> Column:
+    """Word n-grams of a token array (tokens never contain spaces). n = 1 is
+    the array itself; each longer n is one regex pass over the space-joined
+    tokens: a zero-width lookahead at every token start captures the next n
+    tokens (faster than slicing the array at every position)."""
+    joined = F.array_join(tokens, " ")
     parts = []
     for n in range(n_min, n_max + 1):
-        idx = F.sequence(F.lit(0), F.size(tokens) - n)
-        grams = F.transform(idx, lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
-        parts.append(F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>")))
+        if n == 1:
+            parts.append(tokens)
+        else:
+            pat = "(?:^| )(?=(" + " ".join(["[^ ]+"] * n) + "))"
+            parts.append(F.regexp_extract_all(joined, F.lit(pat), 1))
     return F.concat(*parts)
 
 

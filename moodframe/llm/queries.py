@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe_automaton
+from . import bpe_automaton, decontaminate, simhash_ball
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -15,11 +15,21 @@ def tokenizer_path(name: str = BPE_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_ball.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+
+
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op5_bpe_automaton": op5_bpe_automaton,
+    "op6_simhash_ball": op6_simhash_ball,
 }
 ORACLES: dict[str, str] = {}

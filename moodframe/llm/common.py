@@ -55,7 +55,7 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row. A plain column
     used inside a lambda may be inlined there and evaluated per element; a
     lambda variable can't be."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)  # body may have further, optional parameters
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe_automaton, chat_format, decontaminate, license_scan, simhash_ball
+from . import bpe_automaton, chat_format, decontaminate, license_scan, line_dedup, quality_rules, simhash_ball
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -32,6 +32,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(turns))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents")).drop("host", "text_hash")
+
+
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -40,11 +44,19 @@ def op6_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_ball.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
     "op3_chat_format": op3_chat_format,
+    "op4_quality_rules": op4_quality_rules,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_simhash_ball": op6_simhash_ball,
+    "op9_line_dedup": op9_line_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": line_dedup.ORACLE,
 }
-ORACLES: dict[str, str] = {}

@@ -12,9 +12,9 @@ A state keeps the labels taken from it and the merge that took them; an arc
 for uv exists where u existed when uv was made. So ``arc(state, token)`` walks
 the token's left parts, a few table look-ups.
 
-Every prefix of a word has exactly one correct token sequence, so encoding is
-one left-to-right pass over byte positions that follows the arcs matching the
-next bytes; decoding emits the labels of the arcs.
+Every prefix of a word has exactly one correct token sequence, so one state at
+most can be at a byte position: encoding follows the arcs that match the next
+bytes and visits each position once at most; decoding emits the arcs' labels.
 """
 from __future__ import annotations
 
@@ -39,7 +39,8 @@ NEWER = ("558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A
          "16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 "
          "1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED "
          "1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F")
-WORDS_KEPT = 200_000        # words a worker remembers before it starts anew
+WORDS_KEPT = 500_000        # words a worker remembers before it starts anew
+STEPS_KEPT = 1_000_000      # transitions a worker keeps computed
 LONG_TEXT = 4_000_000       # texts from this length are split lazily
 
 
@@ -66,7 +67,7 @@ class MergeAutomaton:
         self._users = [len(self.target) + 1]    # arcs into a state by label; the start counts too
         for step, (u, v) in enumerate(merges):
             self._gadget(step, vocab[u], vocab[v], vocab[u + v])
-        self._trie()
+        self._tables()
 
     def _gadget(self, step: int, u: int, v: int, uv: int) -> None:
         if u not in self.target or v not in self.target:
@@ -108,45 +109,55 @@ class MergeAutomaton:
                 return False
             later, token = born[token], below
 
-    def _trie(self) -> None:
-        self.next: dict[int, int] = {}
-        self.ends: list[int | None] = [None]
-        for token in self.target:
-            node = 0
-            for b in self.label[token]:
-                key = node << 8 | b
-                if key not in self.next:
-                    self.next[key] = len(self.ends)
-                    self.ends.append(None)
-                node = self.next[key]
-            self.ends[node] = token
+    def _tables(self) -> None:
+        """Arcs by label, the longest label by its first two bytes, and the
+        transitions found so far."""
+        self.by_label = {self.label[t]: t for t in self.target}
+        self.reach: dict[bytes, int] = {}
+        for label in self.by_label:
+            self.reach[label[:2]] = max(len(label), self.reach.get(label[:2], 1))
+        self.step: dict[int, int] = {}
+
+    def _step(self, state: int, token: int) -> int:
+        """The transition table, filled as it is used: the next state, or -1."""
+        if len(self.step) >= STEPS_KEPT:
+            self.step.clear()
+        to = self.step[state << 20 | token] = self.target[token] if self.arc(state, token) else -1
+        return to
 
     def encode(self, word: bytes) -> list[int]:
-        """The token ids of one pre-split word."""
-        n = len(word)
-        state: list[int] = [0] + [-1] * n
-        came: list[tuple[int, int]] = [(0, 0)] * (n + 1)
-        step, ends, target, arc = self.next, self.ends, self.target, self.arc
-        for i in range(n):
-            here = state[i]
-            if here < 0:
-                raise ValueError("the vocabulary lacks a byte of this text")
-            node, j = 0, i
-            while j < n:
-                node = step.get(node << 8 | word[j])
-                if node is None:
-                    break
-                j += 1
-                token = ends[node]
-                if token is not None and state[j] < 0 and arc(here, token):
-                    state[j], came[j] = target[token], (i, token)
-        if n and state[n] < 0:
-            raise ValueError("the vocabulary lacks a byte of this text")
-        out: list[int] = []
-        while n:
-            n, token = came[n]
-            out.append(token)
-        return out[::-1]
+        """The token ids of one pre-split word: the path whose labels spell it.
+        From each place the longest arc is tried first; a place that turned out
+        a dead end is never entered again, since only one state can be there."""
+        n, by_label, reach, step = len(word), self.by_label, self.reach, self.step
+        path: list[int] = []
+        frames: list[tuple[int, int, int]] = []
+        dead: set[int] = set()
+        i = state = 0
+        j = min(n, reach.get(word[:2], 1))
+        while i < n:
+            while j > i:
+                token = by_label.get(word[i:j])
+                if token is not None and j not in dead:
+                    to = step.get(state << 20 | token)
+                    if to is None:
+                        to = self._step(state, token)
+                    if to >= 0:
+                        break
+                j -= 1
+            else:
+                dead.add(i)
+                if not frames:
+                    raise ValueError("the vocabulary lacks a byte of this text")
+                i, state, j = frames.pop()
+                path.pop()
+                j -= 1
+                continue
+            frames.append((i, state, j))
+            path.append(token)
+            i, state = j, to
+            j = min(n, i + reach.get(word[i:i + 2], 1))
+        return path
 
     def decode(self, ids) -> bytes:
         """The labels along the path."""
@@ -180,7 +191,7 @@ class Tokenizer:
         if len(self.seen) >= WORDS_KEPT:
             self.seen.clear()
         ids = ",".join(map(str, self.automaton.encode(word.encode())))
-        if len(word) <= 64 and not self.newer.search(word):
+        if len(word) <= 64 and (word.isascii() or not self.newer.search(word)):
             self.seen[word] = ids
         return ids
 
@@ -198,10 +209,12 @@ class Tokenizer:
             if len(piece) < LONG_TEXT:
                 words = self.words.findall(piece)
                 got = list(map(self.seen.get, words))
-                if None in got:
-                    if any(g is None and self.newer.search(w) for g, w in zip(got, words, strict=True)):
-                        words = self.exact_words.findall(piece)
-                    got = self._ids(words)
+                new = [i for i, g in enumerate(got) if g is None] if None in got else []
+                if any(not words[i].isascii() and self.newer.search(words[i]) for i in new):
+                    got = self._ids(self.exact_words.findall(piece))
+                else:
+                    for i in new:
+                        got[i] = self._word(words[i])
                 yield ",".join(got)
                 continue
             pattern = self.exact_words if self.newer.search(piece) else self.words

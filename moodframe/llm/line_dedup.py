@@ -99,6 +99,6 @@ g AS (SELECT DISTINCT doc_id, p + o AS i FROM r, (VALUES (0), (1), (2)) v(o) WHE
 x AS (SELECT doc_id, list(i) AS gone, count(*) AS n, sum(CASE WHEN prev IS DISTINCT FROM i - 1 THEN 1 ELSE 0 END) AS spans
       FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM g) GROUP BY doc_id)
 SELECT l.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(x.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
-       sha256(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), i -> NOT list_contains(coalesce(gone, []), i)), i -> ls[i]), chr(10))) AS kept_sha256
+       sha256(array_to_string([ls[i] FOR i IN range(1, len(ls) + 1) IF NOT list_contains(coalesce(gone, []), i)], chr(10))) AS kept_sha256
 FROM l LEFT JOIN x USING (doc_id)
 """

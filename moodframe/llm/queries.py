@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe_automaton, chat_format, decontaminate, license_scan, line_dedup, quality_rules, simhash_ball
+from . import bpe_automaton, chat_format, decontaminate, license_scan, line_dedup, quality_rules, secret_scan, simhash_ball
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -48,6 +48,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -56,6 +60,7 @@ QUERIES = {
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_simhash_ball": op6_simhash_ball,
     "op9_line_dedup": op9_line_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLES: dict[str, str] = {
     "op9_line_dedup": line_dedup.ORACLE,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe_automaton, chat_format, decontaminate, license_scan, line_dedup, quality_rules, secret_scan, simhash_ball
+from . import bpe_automaton, chat_format, decontaminate, license_scan, line_dedup, quality_rules, secret_scan, simhash_ball, warc
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -44,6 +44,10 @@ def op6_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_ball.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_simhash_ball": op6_simhash_ball,
+    "op7_warc_chunks": op7_warc_chunks,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
 }

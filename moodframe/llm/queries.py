@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe_automaton, chat_format, decontaminate, license_scan, line_dedup, quality_rules, secret_scan, simhash_ball, warc
+from . import bpe_automaton, chat_format, decontaminate, license_scan, line_dedup, quality_rules, secret_scan, simhash_ball, suffix_family, warc
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -48,6 +48,10 @@ def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_family.dedup_report(table(spark, sf_dir, "documents"), size=100)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op5_bpe_automaton": op5_bpe_automaton,
     "op6_simhash_ball": op6_simhash_ball,
     "op7_warc_chunks": op7_warc_chunks,
+    "op8_suffix_family": op8_suffix_family,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
 }

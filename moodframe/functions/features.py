@@ -127,7 +127,8 @@ def lexicon_hits(df: DataFrame, key: str, words_col: str, lexicon: DataFrame,
     n_lex = lex.count()
     lex = F.broadcast(lex) if n_lex <= broadcast_max_rows else lex
     exploded = df.select(key, F.explode(words_col).alias("_w"))
-    hits = exploded.join(lex, "_w", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("hits"))
+    exploded = exploded.groupBy(key, "_w").agg(F.count(F.lit(1)).alias("_n"))      # a word of a row once
+    hits = exploded.join(lex, "_w", "left_semi").groupBy(key).agg(F.sum("_n").alias("hits"))
     return (df.select(key).join(hits, key, "left")
               .select(key, F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits")))
 
@@ -136,15 +137,16 @@ def mean_word_vector(df: DataFrame, key: str, text_col: str, vectors: DataFrame,
                      word_col: str = "word", vec_col: str = "vec", dim: int | None = None) -> DataFrame:
     """V1: mean vector of the known lower-cased words; zero vector if none.
 
-    Words join the vector table on the word (a shuffle join; the vector
-    table is not assumed small). The mean is MLlib's vector Summarizer, a
-    partial aggregate, so no group is ever collected into a list."""
+    A row and word are one row with their count before a vector is joined, so
+    the shuffle carries no vectors for repeats; a word in very many rows is
+    split by the skew join. The mean is MLlib's weighted Summarizer, a partial
+    aggregate, so no group is ever collected into a list."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    words = df.select(key, F.explode(tx.split_ws(F.lower(F.col(text_col)))).alias(word_col))
+    words = df.select(key, F.explode(tx.split_ws(F.lower(F.col(text_col)))).alias(word_col)).groupBy(key, word_col).agg(F.count(F.lit(1)).cast("double").alias("_tf"))
     hit = words.join(vectors.select(word_col, array_to_vector(F.col(vec_col)).alias("_v")), word_col, "inner")
-    means = hit.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("_m"))
+    means = hit.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("_v"), F.col("_tf"))).alias("_m"))
     zero = F.array_repeat(F.lit(0.0), dim) if dim else F.array().cast("array<double>")
     return (df.select(key).join(means, key, "left")
               .select(key, F.coalesce(F.col("_m"), zero).alias("mean_vec")))

@@ -171,21 +171,21 @@ def detect_language(c) -> Column:                 # X10
 
 
 def reaction_counts(c) -> Column:                 # X11
-    """struct<total INT, types MAP<STRING,INT>>."""
+    """struct<total INT, types MAP<STRING,INT>>; a number beyond INT doesn't count."""
     c = F.coalesce(_c(c), F.lit(""))
     counts = [(name, F.regexp_extract(c, f"(?i)([0-9]+)[{WS}]*({words})", 1)) for name, words in REACTION_PATTERNS]
-    vals = [F.when(v != "", v.cast("int")) for _, v in counts]
+    vals = [v.try_cast("int") for _, v in counts]
     types = F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n, _ in counts]), F.array(*vals)),
                          lambda k, v: v.isNotNull())
-    typed_total = F.aggregate(F.map_values(types), F.lit(0), lambda a, x: a + x)
+    typed_total = F.aggregate(F.map_values(types), F.lit(0).cast("long"), lambda a, x: a + x).try_cast("int")
     first = F.regexp_extract(c, "([0-9]+)", 1)
-    total = F.when(typed_total == 0, F.when(first != "", first.cast("int")).otherwise(0)).otherwise(typed_total)
+    total = F.when(typed_total == 0, F.coalesce(first.try_cast("int"), F.lit(0))).otherwise(typed_total)
     return F.struct(total.alias("total"), types.alias("types"))
 
 
-def first_integer(c) -> Column:                   # X12
+def first_integer(c) -> Column:                   # X12; null beyond BIGINT
     v = F.regexp_extract(_c(c), "[0-9]+", 0)
-    return F.when(v != "", v.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return F.when(v != "", v.try_cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
 def author_from_label(c) -> Column:               # X13
@@ -202,11 +202,11 @@ def is_relative_time(c) -> Column:                # X14
 
 def relative_time_seconds(c) -> Column:
     t = F.lower(py_strip(_c(c)))
-    n = F.regexp_extract(t, "^([0-9]+)", 1).cast("bigint")
+    n = F.regexp_extract(t, "^([0-9]+)", 1).try_cast("bigint")     # null beyond BIGINT
     unit = F.substring(t, -1, 1)
     mult = (F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3600)
             .when(unit == "d", 86400).when(unit == "y", 31536000))
-    return F.when(t.rlike(RELATIVE_TIME), n * mult)
+    return F.when(t.rlike(RELATIVE_TIME), F.try_multiply(n, mult))
 
 
 def is_reply_markup(c) -> Column:                 # X15

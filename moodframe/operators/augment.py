@@ -18,8 +18,8 @@ from ..functions import text as tx
 # Own small, clean word lists (structure only mirrors the original kind).
 SYNONYMS = {"good": ["fine", "nice"], "the": ["this"], "and": ["plus"], "of": ["from"],
             "is": ["seems"], "great": ["superb", "excellent"], "bad": ["poor"], "to": ["toward"]}
-TEMPLATES = {"en": ["I think {text}", "In my view, {text}", "{text}, honestly.", "Well, {text}", "So {text}!"],
-             "vi": ["Tôi nghĩ {text}", "Theo tôi, {text}", "{text}, thật đấy.", "Ừm, {text}", "Vậy {text}!"]}
+TEMPLATES = {"en": ["Note from the queue: {text}", "{text} (sent from the counter)", "Third report today: {text}", "Subject line said {text}", "{text} / end of message"],
+             "vi": ["Ghi chú từ quầy: {text}", "{text} (gửi từ quầy)", "Báo cáo thứ ba hôm nay: {text}", "Tiêu đề ghi {text}", "{text} / hết tin"]}
 EMOJIS = {2: ["😊", "👍", "🎉"], 1: ["😐", "🤔"], 0: ["😞", "😠"]}
 EXPRESSIONS = {2: ["Love it", "Really nice"], 1: ["Not sure", "It is okay"], 0: ["Not happy", "Too bad"]}
 PUNCT = {2: "!", 1: ".", 0: "..."}
@@ -204,7 +204,7 @@ def apply_typos(words: Column, key: Column, seed: int = 42, rate: float = 0.3) -
         cur = F.lower(F.substring(w, pos + 1, 1))
         cands = F.element_at(nb, cur)
         ch = F.substring(cands, F.floor(hz.u01(key, seed, "g8c", i) * F.length(cands)).cast("int") + 1, 1)
-        new = F.concat(F.substring(w, 1, pos), ch, F.substring(w, pos + 2, 1_000_000))
+        new = F.concat(F.substring(w, 1, pos), ch, F.substr(w, pos + 2))
         hit = (F.length(w) >= 4) & (hz.u01(key, seed, "g8", i) <= rate) & cands.isNotNull()
         return F.when(hit, new).otherwise(w)
     return F.transform(words, typo)

@@ -56,15 +56,14 @@ def confusion_matrix(df: DataFrame, label_col="label", pred_col="prediction", la
 
 def per_class(cc: DataFrame, by=()) -> DataFrame:
     """Per-class tp, support, predicted count, precision, recall, f1 from a
-    confusion-count table (zero division -> 0)."""
+    confusion-count table (zero division -> 0): one aggregate over a row per
+    label and a row per prediction. Null groups and a null class count like others."""
     by = list(by)
-    classes = (cc.select(*by, F.col("label").alias("cls"))
-                 .unionByName(cc.select(*by, F.col("prediction").alias("cls"))).distinct())
-    tp = cc.filter(F.col("label") == F.col("prediction")).select(*by, F.col("label").alias("cls"), F.col("n").alias("tp"))
-    sup = cc.groupBy(*by, F.col("label").alias("cls")).agg(F.sum("n").alias("support"))
-    pc = cc.groupBy(*by, F.col("prediction").alias("cls")).agg(F.sum("n").alias("pred_n"))
-    t = (classes.join(tp, by + ["cls"], "left").join(sup, by + ["cls"], "left").join(pc, by + ["cls"], "left")
-         .fillna(0, ["tp", "support", "pred_n"]))
+    none = F.lit(0).cast("long")
+    own = F.struct(F.col("label").alias("cls"), F.when(F.col("label").eqNullSafe(F.col("prediction")), F.col("n")).otherwise(none).alias("tp"), F.col("n").alias("support"), none.alias("pred_n"))
+    said = F.struct(F.col("prediction").alias("cls"), none.alias("tp"), none.alias("support"), F.col("n").alias("pred_n"))
+    t = cc.select(*by, F.explode(F.array(own, said)).alias("x")).select(*by, "x.*")
+    t = t.groupBy(*by, "cls").agg(*(F.sum(c).alias(c) for c in ("tp", "support", "pred_n")))
     p = F.when(F.col("pred_n") > 0, F.col("tp") / F.col("pred_n")).otherwise(F.lit(0.0))
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     t = t.withColumn("precision", p).withColumn("recall", r)
@@ -98,10 +97,8 @@ def grouped_scores(df: DataFrame, by: list[str], label_col="label", pred_col="pr
     """Accuracy, weighted precision, weighted recall, weighted F1 per group."""
     pc = per_class(confusion_counts(df, label_col, pred_col, by), by)
     return pc.groupBy(*by).agg(
-        (F.sum("tp") / F.sum("support")).alias("accuracy"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("precision"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("recall"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1"))
+        F.try_divide(F.sum("tp"), F.sum("support")).alias("accuracy"),
+        *(F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in ("precision", "recall", "f1")))
 
 
 def balanced_accuracy(df: DataFrame, label_col="label", pred_col="prediction") -> DataFrame:
@@ -143,12 +140,13 @@ def histogram(df: DataFrame, value: Column, width: float, name: str = "bucket")
 # ---- ROC / AUC ---------------------------------------------------------------------
 
 def _score_table(df: DataFrame, label_col: str, score_col: str, classes) -> DataFrame:
-    """(cls, score, pos, neg): one row per class and distinct score."""
+    """(cls, score, pos, neg): one row per class and distinct score. A row
+    without a score for a class wasn't scored for it and isn't on its curve."""
     rows = df.select(F.col(label_col).alias("_y"), F.posexplode(F.col(score_col)).alias("cls", "score"))
-    rows = rows.filter(F.col("cls").isin(list(classes)))
+    rows = rows.filter(F.col("cls").isin(list(classes)) & F.col("score").isNotNull())
     return rows.groupBy("cls", "score").agg(
-        F.sum((F.col("_y") == F.col("cls")).cast("long")).alias("pos"),
-        F.sum((F.col("_y") != F.col("cls")).cast("long")).alias("neg"))
+        F.sum(F.col("_y").eqNullSafe(F.col("cls")).cast("long")).alias("pos"),
+        F.sum((~F.col("_y").eqNullSafe(F.col("cls"))).cast("long")).alias("neg"))
 
 
 def _cumulative_neg_below(st: DataFrame, buckets: int) -> DataFrame:
@@ -168,11 +166,11 @@ def _cumulative_neg_below(st: DataFrame, buckets: int) -> DataFrame:
 
 
 def ovr_auc(df: DataFrame, label_col="label", score_col="probs", classes=(0, 1, 2), buckets: int = 1024) -> DataFrame:
-    """One-vs-rest ROC AUC per class, ties counted as one half."""
+    """One-vs-rest ROC AUC per class, ties counted as one half; null for a
+    class that all rows or no rows have."""
     st = _cumulative_neg_below(_score_table(df, label_col, score_col, classes), buckets)
     return st.groupBy("cls").agg(
-        (F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5)) /
-         (F.sum("pos") * F.sum("neg"))).alias("auc"))
+        F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * 0.5)), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def roc_points(df: DataFrame, label_col="label", score_col="probs", classes=(0, 1, 2), buckets: int = 1024) -> DataFrame:
@@ -182,5 +180,5 @@ def roc_points(df: DataFrame, label_col="label", score_col="probs", classes=(0,
     tot = st.groupBy("cls").agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     st = st.join(F.broadcast(tot), "cls")
     return st.select("cls", F.col("score").alias("threshold"),
-                     ((F.col("_P") - F.col("pos_below")) / F.col("_P")).alias("tpr"),
-                     ((F.col("_N") - F.col("neg_below")) / F.col("_N")).alias("fpr"))
+                     F.try_divide(F.col("_P") - F.col("pos_below"), F.col("_P")).alias("tpr"),
+                     F.try_divide(F.col("_N") - F.col("neg_below"), F.col("_N")).alias("fpr"))

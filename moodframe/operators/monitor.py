@@ -50,12 +50,14 @@ def rolling_last_n(req: DataFrame, n: int = 100, key: str = "client", value: str
     last n events (ts, event_id order).
 
     Each client's rows are numbered with ``two_level_prefix`` (no
-    client-wide window), cut into blocks of ``block`` rows, and the last
-    n - 1 rows of a block are copied into the next block as a halo; the ROWS
-    window then runs per (client, block)."""
+    client-wide window), cut into blocks of ``block`` rows, and every row is
+    copied as a halo into the later blocks that its next n - 1 rows reach; the
+    ROWS window then runs per (client, block)."""
     idx = two_level_prefix(req, key, "ts", "event_id", ["event_id"], lambda p, c: F.lit(True), "_idx", 0)
     idx = idx.withColumn("_blk", ((F.col("_idx") - 1) / block).cast("long"))
-    halo = idx.filter(((F.col("_idx") - 1) % block) >= block - (n - 1)).withColumn("_blk", F.col("_blk") + 1)
+    reach = ((F.col("_idx") + (n - 2)) / block).cast("long")
+    later = F.when(reach > F.col("_blk"), F.sequence(F.col("_blk") + 1, reach)).otherwise(F.array().cast("array<bigint>"))
+    halo = idx.withColumn("_blk", F.explode(later))
     both = idx.withColumn("_own", F.lit(True)).unionByName(halo.withColumn("_own", F.lit(False)))
     w = Window.partitionBy(key, "_blk").orderBy("_idx").rowsBetween(-(n - 1), 0)
     out = both.select("*", F.sum(value).over(w).alias("rolling_sum"), F.count(F.lit(1)).over(w).alias("rolling_n"))
@@ -114,6 +116,13 @@ def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int, buck
     return cand.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k).drop("_bk", "_r1")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi-join in which a null key meets a null key, keys kept once."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(named, cond).drop(*[f"_r_{k}" for k in keys])
+
+
 def two_level_prefix(df: DataFrame, key: str, ts: str, tiebreak: str, carry: list[str], flag_fn,
                      out: str, start: int = 0, bucket_seconds: int = 86400) -> DataFrame:
     """Running count per key of rows where ``flag_fn(prev, cur)`` holds,
@@ -132,14 +141,14 @@ def two_level_prefix(df: DataFrame, key: str, ts: str, tiebreak: str, carry: lis
     lasts = d.groupBy(key, "_bk").agg(F.max_by(F.struct(*carry), F.struct(ts, tiebreak)).alias("_last"))
     wb = Window.partitionBy(key).orderBy("_bk")
     lasts = lasts.select(key, "_bk", F.lag("_last").over(wb).alias("_prev_last"))
-    d = d.join(lasts, [key, "_bk"])
+    d = join_null_safe(d, lasts, [key, "_bk"])
     prev = {c: F.coalesce(F.lag(c).over(wi), F.when(F.row_number().over(wi) == 1, F.col("_prev_last").getField(c))) for c in carry}
     cur = {c: F.col(c) for c in carry}
     d = d.withColumn("_flag", flag_fn(prev, cur).cast("long"))
     d = d.withColumn("_local", F.sum("_flag").over(wi.rowsBetween(Window.unboundedPreceding, 0)))
     tot = d.groupBy(key, "_bk").agg(F.sum("_flag").alias("_n"))
     tot = tot.select(key, "_bk", F.coalesce(F.sum("_n").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    d = d.join(tot, [key, "_bk"])
+    d = join_null_safe(d, tot, [key, "_bk"])
     return d.withColumn(out, F.col("_off") + F.col("_local") + F.lit(start)).drop("_bk", "_prev_last", "_flag", "_local", "_off")
 
 
@@ -238,22 +247,21 @@ def parse_log_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     ).withColumn("log_ts", F.try_to_timestamp(F.col("time_str"), F.lit("yyyy-MM-dd HH:mm:ss,SSS")).cast("timestamp_ntz"))
 
 
-def filter_logs(logs: DataFrame, level=None, since=None, kind=None, path=None, status=None) -> DataFrame:
-    """AND-ed filters over parsed lines; an unparseable time passes the
+def filter_logs(logs: DataFrame, level=None, since=None, kind=None, path=None, status=None, line: str = "value") -> DataFrame:
+    """AND-ed filters over parsed lines; kind, path and status look for
+    their text anywhere in the whole line, an unparseable time passes the
     ``since`` test (Y1)."""
     cond = F.lit(True)
     if level:
         cond = cond & (F.upper(F.col("level")) == level.upper())
     if since is not None:
         cond = cond & F.coalesce(F.col("log_ts") >= F.lit(since).cast("timestamp_ntz"), F.lit(True))
-    if kind == "request":
-        cond = cond & F.col("message").startswith("Request:")
-    elif kind == "response":
-        cond = cond & F.col("message").startswith("Response:")
-    elif kind == "init":
-        cond = cond & F.col("message").contains("init")
+    marks = {"request": "Request:", "response": "Response:", "init": "API Server"}      # FIXED: what a line of a kind holds
+    whole = F.col(line)
+    if kind:
+        cond = cond & whole.contains(marks[kind])
     if path:
-        cond = cond & F.col("message").contains(path)
+        cond = cond & whole.contains(path)
     if status is not None:
-        cond = cond & (F.regexp_extract("message", r"Status: ([0-9]+)", 1) == str(status))
+        cond = cond & whole.contains(f"Status: {status}")
     return logs.filter(cond)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import hashing as hz
+from .monitor import join_null_safe
 
 
 def sort_hash(key, seed=42, salt="") -> Column:
@@ -35,7 +36,8 @@ def _prefix_len(max_class_rows: int, max_bucket_rows: int) -> int:
 def class_ranked(df: DataFrame, label_col: str, key_col: str, seed=42, salt="",
                  max_bucket_rows: int = 2_000_000) -> DataFrame:
     """Adds ``_h`` (hash order key), ``_rank`` (1-based rank by ``_h``, then
-    key, inside the class) and ``_n`` (class size)."""
+    key, inside the class) and ``_n`` (class size). Rows without a label are a
+    class of their own."""
     h = df.withColumn("_h", sort_hash(F.col(key_col), seed, salt))
     counts = h.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
     biggest = counts.agg(F.max("_n")).first()[0] or 0
@@ -45,13 +47,13 @@ def class_ranked(df: DataFrame, label_col: str, key_col: str, seed=42, salt="",
     # Window over the bucket table (classes x 16^p rows), not over the data.
     w = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select(label_col, "_b", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_off"))
-    offsets = offsets.join(counts, label_col)
+    offsets = join_null_safe(offsets, counts, [label_col])
     inner = Window.partitionBy(label_col, "_b").orderBy("_h", key_col)
     # The offset table has (classes x 16^p) rows; broadcast it only when that
     # bound is small, else it takes the shuffle path.
     n_classes = counts.count()
     small = n_classes * (16 ** p) <= 4_000_000
-    ranked = (h.join(F.broadcast(offsets) if small else offsets, [label_col, "_b"])
+    ranked = (join_null_safe(h, F.broadcast(offsets) if small else offsets, [label_col, "_b"])
                 .withColumn("_rank", F.col("_off") + F.row_number().over(inner)))
     return ranked.drop("_b", "_off")
 
@@ -109,17 +111,18 @@ def oversample(df: DataFrame, label_col: str = "label", key_col: str = "doc_id",
         F.when(hi >= lo, F.sequence(lo.cast("long"), hi.cast("long"), F.lit(1).cast("long"))).otherwise(empty)).alias("draw"))
     draws = draws.withColumn("_rank", (F.floor(hz.u01(F.col(label_col), seed, "draw", F.col("draw")) * F.col("_n")) + 1).cast("long"))
     cols = [c for c in df.columns]
-    extra = draws.join(r.select(label_col, "_rank", *[c for c in cols if c != label_col]), [label_col, "_rank"])
+    extra = join_null_safe(draws, r.select(label_col, "_rank", *[c for c in cols if c != label_col]), [label_col, "_rank"])
     orig = r.select(*cols, F.lit(0).cast("int").alias("draw"))
     return orig.unionByName(extra.select(*cols, F.col("draw").cast("int")))
 
 
 def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """weight = n / (k * n_class), joined back (class table broadcast)."""
+    """weight = n / (k * n_class), joined back (the class table is as long
+    as there are labels, so adaptive execution decides on a broadcast)."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc"))
     tot = counts.select(label_col, (F.sum("_nc").over(Window.partitionBy()) /
                                     (F.count(F.lit(1)).over(Window.partitionBy()) * F.col("_nc"))).alias("weight"))
-    return df.join(F.broadcast(tot), label_col)
+    return join_null_safe(df, tot, [label_col])
 
 
 def stratified_folds(df: DataFrame, k: int = 5, label_col: str = "label", key_col: str = "doc_id",

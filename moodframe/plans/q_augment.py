@@ -109,8 +109,7 @@ for _kind, _fn, _name in [("g10", ag.add_emojis, "g10_add_emojis"), ("g16", ag.a
     def _mk(fn):
         def q(spark, sf_dir):
             d = ds.labelled_documents(spark, sf_dir).filter(F.col("text").isNotNull())
-            t = F.substring("text", 1, 10_000_000)
-            return d.select("doc_id", F.md5(fn(t, F.col("label"), F.col("doc_id"))).alias("aug_md5"))
+            return d.select("doc_id", F.md5(fn(F.col("text"), F.col("label"), F.col("doc_id"))).alias("aug_md5"))
         return q
     register(_name, f"WITH d AS ({LABELLED_DOCS}) SELECT doc_id, md5({_deco_sql(_kind)}) AS aug_md5 FROM (SELECT *, text AS t FROM d WHERE text IS NOT NULL)")(_mk(_fn))
 

@@ -200,7 +200,7 @@ def m24_alerts(spark, sf_dir):
 
 def _log_lines(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    msg = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Request: GET /"), F.col("event_type"))).otherwise(
+    msg = F.when(F.col("event_id") % 17 == 5, F.lit("API Server starting")).when(F.col("event_id") % 17 == 6, F.lit("retry of Request: GET /initiate")).when(F.col("event_id") % 2 == 0, F.concat(F.lit("Request: GET /"), F.col("event_type"))).otherwise(
         F.concat(F.lit("Response: /"), F.col("event_type"), F.lit(" Status: "),
                  F.when(F.col("event_type") == "error", F.lit("500")).otherwise(F.lit("200")),
                  F.lit(" Time: "), F.round(F.col("value") * 100).cast("bigint").cast("string")))
@@ -214,7 +214,7 @@ def _log_lines(spark, sf_dir):
 LOG_SQL = """SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'xx yy - api - ' || lvl || ' - ' || msg
   ELSE strftime(ts, '%Y-%m-%d %H:%M:%S,%g') || ' - api - ' || lvl || ' - ' || msg END AS value FROM (
   SELECT event_id, ts, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS lvl,
-    CASE WHEN event_id % 2 = 0 THEN 'Request: GET /' || event_type
+    CASE WHEN event_id % 17 = 5 THEN 'API Server starting' WHEN event_id % 17 = 6 THEN 'retry of Request: GET /initiate' WHEN event_id % 2 = 0 THEN 'Request: GET /' || event_type
     ELSE 'Response: /' || event_type || ' Status: ' || CASE WHEN event_type = 'error' THEN '500' ELSE '200' END
          || ' Time: ' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) END AS msg FROM events)"""
 
@@ -238,12 +238,17 @@ def s12_log_lines_source(spark, sf_dir):
 
 
 @register("p13_log_filters", f"""WITH p AS ({PARSED_SQL})
-SELECT event_id FROM p WHERE upper(level) = 'ERROR' AND coalesce(log_ts >= TIMESTAMP '2024-01-10 00:00:00', true)
-  AND starts_with(message, 'Response:') AND contains(message, '/error') AND regexp_extract(message, 'Status: ([0-9]+)', 1) = '500'""")
+SELECT event_id, 'response' AS kind FROM p WHERE upper(level) = 'ERROR' AND coalesce(log_ts >= TIMESTAMP '2024-01-10 00:00:00', true)
+  AND value LIKE '%Response:%' AND value LIKE '%/error%' AND value LIKE '%Status: 500%'
+UNION ALL SELECT event_id, 'init' FROM p WHERE event_id % 17 = 5
+UNION ALL SELECT event_id, 'request' FROM p WHERE event_id % 17 = 6 AND upper(level) = 'INFO'""")
 def p13_log_filters(spark, sf_dir):
     p = mo.parse_log_lines(_log_lines(spark, sf_dir))
     f = mo.filter_logs(p, level="ERROR", since="2024-01-10 00:00:00", kind="response", path="/error", status=500)
-    return f.select("event_id")
+    i = mo.filter_logs(p, kind="init", path=" - api - ")
+    r = mo.filter_logs(p, level="info", kind="request", path="/initiate")
+    return (f.select("event_id", F.lit("response").alias("kind")).unionByName(i.select("event_id", F.lit("init").alias("kind")))
+            .unionByName(r.select("event_id", F.lit("request").alias("kind"))))
 
 
 @register("p14_log_search", f"""WITH p AS ({PARSED_SQL})

@@ -71,7 +71,7 @@ def _market_json(spark, sf_dir):
     a missing star every 7th document and a blank comment every 11th."""
     d = table(spark, sf_dir, "documents")
     star = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(1 + F.col("doc_id") % 5)
-    comment = F.when(F.col("doc_id") % 11 == 0, F.lit("  ")).otherwise(F.substring("text", 1, 80))
+    comment = F.when(F.col("doc_id") % 11 == 0, F.lit("  ")).otherwise(F.col("text"))
     # One response page per (source, block of 50 documents): pages are bounded.
     r = d.groupBy("source", (F.col("doc_id") / 50).cast("long").alias("page")).agg(
         F.collect_list(F.struct(star.cast("int").alias("rating_star"), comment.alias("comment"))).alias("ratings"))
@@ -79,9 +79,9 @@ def _market_json(spark, sf_dir):
 
 
 @register("s7_y9_marketplace_json", """
-SELECT source, substring(text, 1, 80) AS text,
+SELECT source, text,
   CAST(CASE WHEN doc_id % 7 = 0 THEN 0 WHEN 1 + doc_id % 5 > 3 THEN 2 WHEN 1 + doc_id % 5 < 3 THEN 0 ELSE 1 END AS INTEGER) AS label
-FROM documents WHERE doc_id % 11 <> 0 AND regexp_replace(substring(text, 1, 80), '^[\\t\\n\\x0B\\f\\r\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+|[\\t\\n\\x0B\\f\\r\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+$', '', 'g') <> ''""")
+FROM documents WHERE doc_id % 11 <> 0 AND regexp_replace(text, '^[\\t\\n\\x0B\\f\\r\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+|[\\t\\n\\x0B\\f\\r\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+$', '', 'g') <> ''""")
 def s7_marketplace_json(spark, sf_dir):
     """Paginated per-source response documents (at most 50 ratings each)."""
     j = _market_json(spark, sf_dir).withColumnRenamed("source", "src")
@@ -89,10 +89,10 @@ def s7_marketplace_json(spark, sf_dir):
 
 
 @register("s8_thread_json", """
-SELECT conv_id, CAST(turn AS INTEGER) AS pos, coalesce(CASE WHEN turn % 5 = 4 THEN NULL ELSE substring(text, 1, 60) END, '') AS text FROM conversations""")
+SELECT conv_id, CAST(turn AS INTEGER) AS pos, coalesce(CASE WHEN turn % 5 = 4 THEN NULL ELSE text END, '') AS text FROM conversations""")
 def s8_thread_json(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    msg = F.when(F.col("turn") % 5 == 4, F.lit(None)).otherwise(F.substring("text", 1, 60))
+    msg = F.when(F.col("turn") % 5 == 4, F.lit(None)).otherwise(F.col("text"))
     # One thread page per (conversation, block of 50 turns).
     j = c.groupBy("conv_id", (F.col("turn") / 50).cast("long").alias("page")).agg(
         F.array_sort(F.collect_list(F.struct("turn", msg.alias("message")))).alias("d"))
@@ -113,9 +113,10 @@ def s9_union_files(spark, sf_dir):
 
 
 @register("s10_word_list", """
-SELECT DISTINCT lower(regexp_extract(text, '[A-Za-z]+', 0)) AS word FROM benchmark WHERE regexp_extract(text, '[A-Za-z]+', 0) <> ''""")
+SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark)""")
 def s10_word_list(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("  "), F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)), F.lit(" ")).alias("value"))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("w"))
+    b = words.select(F.concat(F.lit("  "), "w", F.lit(" ")).alias("value"))
     path = scratch_path(spark, "s10")
     b.write.mode("overwrite").text(path)
     return rd.read_word_list(spark, path)
@@ -147,9 +148,8 @@ def s13_metric_snapshot(spark, sf_dir):
     path = scratch_path(spark, "s13")
     snap.write.mode("overwrite").json(path)
     back = spark.read.schema("user_id LONG, requests ARRAY<STRING>, response_times ARRAY<DOUBLE>").json(path)
-    rows = back.select("user_id", F.posexplode(F.arrays_zip("requests", "response_times")).alias("i", "r"))
-    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"),
-                                       F.sum(F.round(F.col("r.response_times") * 100).cast("bigint")).alias("cents"))
+    rows = rd.metric_snapshot_rows(back, "user_id")
+    return rows.groupBy("user_id").agg(F.count("ts").alias("n"), F.sum(F.round(F.col("response_time") * 100).cast("bigint")).alias("cents"))
 
 
 def _s14_sql():

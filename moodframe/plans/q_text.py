@@ -245,10 +245,10 @@ def _decompose_sql(e):
 SELECT doc_id, md5(nfc_normalize({_decompose_sql('text')})) AS nfc_md5,
        nfc_normalize({_decompose_sql('text')}) = text AS same_as_source,
        length({_decompose_sql('text')}) - length(text) AS marks_added
-FROM documents WHERE lang = 'fr'
+FROM documents
 """)
 def x2_nfc_normalize(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(F.col("lang") == "fr").select("doc_id", "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     dd = d.select("doc_id", "text", _decompose(F.col("text")).alias("nfd"))
     n = dd.select("doc_id", "text", "nfd", tx.nfc(F.col("nfd")).alias("nfc"))
     return n.select("doc_id", F.md5("nfc").alias("nfc_md5"), (F.col("nfc") == F.col("text")).alias("same_as_source"),
@@ -427,12 +427,20 @@ def x14_relative_time(spark, sf_dir):
                     tx.relative_time_seconds("rel").alias("seconds"))
 
 
-@register("x15_reply_flag", """
-SELECT conv_id, turn, turn > 0 AS is_reply FROM conversations
+# Turns rendered as comment markup; every kind of reply mark, near misses and none.
+REPLY_MARKUP = ['<a href="/x?reply_comment_id=7">', '<div aria-label="Reply by A">', '<div aria-label="Trả lời của B">',
+                '<div style="x: 1; margin-left: 4px">', '<div style="padding-left:2px">', '<div aria-label="Comment" title="Reply">',
+                '<div style="margin-right: 4px">', "<div>"]
+
+
+@register("x15_reply_flag", f"""
+SELECT conv_id, turn, (conv_id * 3 + turn) % 8 < 5 AS is_reply FROM conversations
 """)
 def x15_reply_flag(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", (F.col("turn") > 0).alias("is_reply"))
+    n = ((F.col("conv_id") * 3 + F.col("turn")) % len(REPLY_MARKUP)).cast("int")
+    html = F.concat(F.element_at(F.array(*map(F.lit, REPLY_MARKUP)), n + 1), F.regexp_replace("text", "<", "&lt;"))
+    return c.select("conv_id", "turn", tx.is_reply_markup(html).alias("is_reply"))
 
 
 @register("x15_reply_flag_markup", """

@@ -133,13 +133,13 @@ def read_synonyms(spark: SparkSession, path: str) -> DataFrame:
     """S11: 'word,syn1,syn2,...' lines -> (word, synonyms)."""
     parts = spark.read.text(path).select(F.split(F.col("value"), ",").alias("p"))
     parts = parts.select(F.transform("p", lambda x: tx.py_strip(x)).alias("p"))
-    return parts.filter(F.size("p") >= 2).select(F.col("p")[0].alias("word"), F.slice("p", 2, 1_000_000).alias("synonyms"))
+    return parts.filter(F.size("p") >= 2).select(F.col("p")[0].alias("word"), F.slice("p", 2, F.size("p")).alias("synonyms"))
 
 
-def metric_snapshot_rows(snap: DataFrame) -> DataFrame:
+def metric_snapshot_rows(snap: DataFrame, *keys: str) -> DataFrame:
     """Parallel arrays of request times and latencies -> one row each."""
-    z = snap.select(F.posexplode(F.arrays_zip(F.col("requests"), F.col("response_times"))).alias("i", "r"))
-    return z.select("i", F.col("r.requests").alias("ts"), F.col("r.response_times").alias("response_time"))
+    z = snap.select(*keys, F.posexplode(F.arrays_zip(F.col("requests"), F.col("response_times"))).alias("i", "r"))
+    return z.select(*keys, "i", F.col("r.requests").alias("ts"), F.col("r.response_times").alias("response_time"))
 
 
 P_BLOCK = r"(?s)<p>(.*?)</p>"

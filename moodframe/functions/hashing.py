@@ -40,6 +40,13 @@ def hex_prefix(key, seed=42, salt="", width=2) -> Column:
     return F.substring(F.md5(hash_key(key, seed, salt, 0)), 1, width)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row. A column that is
+    only used inside a lambda may be inlined there and evaluated per element;
+    a lambda variable can't be."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 # ---- DuckDB text for the oracle SQL -------------------------------------
 
 def sql_key(*parts: str) -> str:

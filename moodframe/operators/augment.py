@@ -174,11 +174,16 @@ def quota_table(df_n: DataFrame, topic_weights: dict, sentiment_ratios: dict) ->
 VARIANTS = {"you": ["u", "ya"], "are": ["r"], "the": ["da"], "and": ["n", "nd"], "to": ["2"], "for": ["4"]}
 
 
+def variant(word: Column) -> Column:
+    """The first informal variant of a word, or the word."""
+    m = F.create_map(*[x for k, v in VARIANTS.items() for x in (F.lit(k), F.lit(v[0]))])
+    return F.coalesce(F.element_at(m, F.lower(word)), word)
+
+
 def variant_lookup(words: Column) -> Column:
     """Each word replaced by its first informal variant when it has one
     (a broadcast-free map literal lookup inside transform)."""
-    m = F.create_map(*[x for k, v in VARIANTS.items() for x in (F.lit(k), F.lit(v[0]))])
-    return F.transform(words, lambda w: F.coalesce(F.element_at(m, F.lower(w)), w))
+    return F.transform(words, variant)
 
 
 def keep_deletion(words: Column, key: Column, seed: int = 42, keep: float = 0.9) -> Column:
@@ -193,21 +198,21 @@ KEY_NEIGHBOURS = {r[i]: "".join(x for x in (r[i - 1] if i > 0 else "", r[i + 1]
                   for r in KEY_ROWS for i in range(len(r))}
 
 
-def apply_typos(words: Column, key: Column, seed: int = 42, rate: float = 0.3) -> Column:
-    """Each word of 4+ characters, with probability ``rate``, gets one
-    non-first character replaced by a keyboard neighbour (when the
-    character has one)."""
+def typo(w: Column, i, key: Column, seed: int = 42, rate: float = 0.3) -> Column:
+    """Word number ``i`` with, by chance, one non-first character replaced by a
+    keyboard neighbour (when the character has one and the word 4 characters)."""
     nb = F.create_map(*[x for k, v in KEY_NEIGHBOURS.items() for x in (F.lit(k), F.lit(v))])
+    pos = F.floor(hz.u01(key, seed, "g8p", i) * (F.length(w) - 1)).cast("int") + 1
+    cands = F.element_at(nb, F.lower(F.substring(w, pos + 1, 1)))
+    ch = F.substring(cands, F.floor(hz.u01(key, seed, "g8c", i) * F.length(cands)).cast("int") + 1, 1)
+    new = F.concat(F.substring(w, 1, pos), ch, F.substr(w, pos + 2))
+    hit = (F.length(w) >= 4) & (hz.u01(key, seed, "g8", i) <= rate) & cands.isNotNull()
+    return F.when(hit, new).otherwise(w)
+
 
-    def typo(w, i):
-        pos = F.floor(hz.u01(key, seed, "g8p", i) * (F.length(w) - 1)).cast("int") + 1
-        cur = F.lower(F.substring(w, pos + 1, 1))
-        cands = F.element_at(nb, cur)
-        ch = F.substring(cands, F.floor(hz.u01(key, seed, "g8c", i) * F.length(cands)).cast("int") + 1, 1)
-        new = F.concat(F.substring(w, 1, pos), ch, F.substr(w, pos + 2))
-        hit = (F.length(w) >= 4) & (hz.u01(key, seed, "g8", i) <= rate) & cands.isNotNull()
-        return F.when(hit, new).otherwise(w)
-    return F.transform(words, typo)
+def apply_typos(words: Column, key: Column, seed: int = 42, rate: float = 0.3) -> Column:
+    """Each word of 4+ characters gets a typo with probability ``rate``."""
+    return F.transform(words, lambda w, i: typo(w, i, key, seed, rate))
 
 
 def fill_placeholders(template: Column, fillers: Column) -> Column:

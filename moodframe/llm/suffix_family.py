@@ -14,13 +14,14 @@ runs are what is shuffled, with the bytes they span.
    costs work, never a result), and so do hot ones.
 2. Runs with a repeated key are sent to the shard of their key. A run that a
    batch of documents holds twice is sent once; its later copies are covered
-   already. A hot key's strings are sent one by one by their own hash, so a
-   passage in very many documents is spread over shards and sent once per batch.
+   already. A hot key's strings are sent one by one by their own hash, with a
+   second hash in place of the bytes (128 bits together), so a passage in very
+   many documents is spread over shards and sent once per batch.
 3. A shard puts equal runs together, and for keys with different runs takes the
    strings in text order, batch by batch, through a ``SuffixFamily``: a batch
    gets a suffix array, is merge-scanned against the sorted array of every
    level, and what is new becomes a level; levels of one size merge into one of
-   twice that size. Here the bytes themselves are compared.
+   twice that size. Here the bytes themselves are compared (but for hot strings).
 
 Spans come back per document and are cut out of its bytes.
 """
@@ -40,9 +41,10 @@ from .common import by_bytes, texts_of, written
 SIZE = 100
 GRAM = 24
 CHUNK_BYTES = 1 << 18           # bytes hashed at once
-HOT_RUNS = 2000                 # runs of one key from which its strings go separately
+HOT_RUNS = 8000                 # runs of one key from which its strings go separately
 BITMAP_BITS = 1 << 29
 SHARD_BYTES = 16 << 20
+SENT_BYTES = 4 << 20            # text whose runs are put together before they are sent
 SLICE_STRINGS = 1 << 17         # strings of whole keys that a shard works on at once
 BATCH_STRINGS = 1 << 14
 MASK = (1 << 64) - 1
@@ -99,8 +101,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(texts: list[bytes], size: int, gram: int, whole: bool) -> Iterator[tuple]:
-    """For pieces of the texts: (bytes, string keys, hashes of the strings or
-    None, run starts, run lengths, owner of each run, its start in the text).
+    """For pieces of the texts: (bytes, string keys, two hashes of the strings
+    or None, run starts, run lengths, owner of each run, its start in the text).
     A run has one owner and one place of the smallest gram, so it holds no two
     equal strings, and at most size - gram + 1 strings."""
     for a, b in by_bytes(texts, CHUNK_BYTES):
@@ -117,7 +119,7 @@ def runs_of(texts: list[bytes], size: int, gram: int, whole: bool) -> Iterator[t
             grams = mixed(rolling.of(gram))
             least = sliding_min(grams, size - gram + 1)
             keys = mixed(least)
-            strings = mixed(rolling.of(size)) if whole else None
+            strings = (mixed(rolling.of(size)), rolling.of(size // 2)) if whole else None
             end = np.cumsum(length)
             owner = np.repeat(np.arange(len(own)), length)[:len(keys)]
             valid = np.arange(len(keys)) + size <= end[owner]
@@ -180,43 +182,50 @@ def sent_runs(docs: DataFrame, repeated, hot, size: int, gram: int) -> DataFrame
     the strings are known to come earlier."""
     def run(batches):
         for b in batches:
-            doc = b.column(1).to_numpy(zero_copy_only=False)
-            text_hash = b.column(2).to_numpy(zero_copy_only=False)
-            parts = []
-            for data, keys, strings, start, n, who, first in runs_of(texts_of(b.column(0)), size, gram, True):
-                fit = in_bitmap(keys[start], repeated.value)
-                start, n, who, first = start[fit], n[fit], who[fit], first[fit]
-                apart = in_bitmap(keys[start], hot.value)
-                shard = keys[start]
-                if apart.any():             # a hot key's strings one by one
-                    k = np.repeat(np.flatnonzero(apart), n[apart])
-                    off = np.arange(len(k)) - np.repeat(np.cumsum(n[apart]) - n[apart], n[apart])
-                    start, who, first = (np.concatenate([x[~apart], y]) for x, y in ((start, start[k] + off), (who, who[k]), (first, first[k] + off)))
-                    shard = np.concatenate([shard[~apart], strings[start[(~apart).sum():]]])
-                    n = np.concatenate([n[~apart], np.ones(len(k), dtype=n.dtype)])
-                body = mixed(strings[start] * np.uint64(3) + strings[start + n - 1] * np.uint64(_BASE) + n.astype(np.uint64))
-                raw = data.tobytes()
-                parts.append((shard, body, doc[who], text_hash[who], first, n, [raw[s:s + m] for s, m in zip(start.tolist(), (n + size - 1).tolist(), strict=True)]))
-            if not parts:
-                continue
-            shard, body, d, t, first, n = (np.concatenate([p[k] for p in parts]) for k in range(6))
-            bytes_ = np.concatenate([np.array(p[6] + [None], dtype=object)[:-1] for p in parts])
-            by = _order(d, t, first, body, shard)
-            same = np.zeros(len(by), dtype=bool)
-            same[1:] = (shard[by][1:] == shard[by][:-1]) & (body[by][1:] == body[by][:-1])
-            later = np.zeros(len(by), dtype=bool)
-            later[by] = same & _later(d[by], t[by], first[by], same)
-            s = np.flatnonzero(~later)
-            for i in range(0, len(s), 20_000):
-                yield _sent(shard, d, t, first, n, bytes_, s[i:i + 20_000])
-            # what comes later: whole stretches of strings
-            s = np.flatnonzero(later)
-            s = s[_order(d[s], t[s], first[s])]
-            past = first[s] + n[s]
-            cut = np.ones(len(s), dtype=bool)
-            cut[1:] = (d[s][1:] != d[s][:-1]) | (t[s][1:] != t[s][:-1]) | (first[s][1:] > past[:-1])
-            lead = s[cut]
-            n[lead] = np.maximum.reduceat(past, np.flatnonzero(cut)) - first[lead] if len(lead) else n[lead]
+            every = texts_of(b.column(0))
+            for i, j in by_bytes(every, SENT_BYTES):
+                yield from batch(every[i:j], b.column(1)[i:j].to_numpy(zero_copy_only=False), b.column(2)[i:j].to_numpy(zero_copy_only=False))
+
+    def batch(texts, doc, text_hash):
+        parts = []
+        for data, keys, strings, start, n, who, first in runs_of(texts, size, gram, True):
+            fit = in_bitmap(keys[start], repeated.value)
+            start, n, who, first = start[fit], n[fit], who[fit], first[fit]
+            apart = in_bitmap(keys[start], hot.value)
+            k = np.repeat(np.flatnonzero(apart), n[apart])          # a hot key's strings one by one
+            off = np.arange(len(k)) - np.repeat(np.cumsum(n[apart]) - n[apart], n[apart])
+            alone = start[k] + off
+            raw = data.tobytes()
+            second = strings[1][alone].astype("<u8").tobytes()
+            bodies = [raw[s:s + m] for s, m in zip(start[~apart].tolist(), (n[~apart] + size - 1).tolist(), strict=True)] + [second[x:x + 8] for x in range(0, len(second), 8)]
+            shard = np.concatenate([keys[start[~apart]], strings[0][alone]])
+            start, who, first = (np.concatenate([x[~apart], y]) for x, y in ((start, alone), (who, who[k]), (first, first[k] + off)))
+            n = np.concatenate([n[~apart], np.ones(len(k), dtype=n.dtype)])
+            same = mixed(strings[0][start] * np.uint64(3) + strings[0][start + n - 1] * np.uint64(_BASE) + n.astype(np.uint64))
+            parts.append((shard, same, doc[who], text_hash[who], first, n, bodies))
+        if not parts:
+            return
+        shard, body, d, t, first, n = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        bytes_ = np.empty(len(shard), dtype=object)
+        bytes_[:] = [x for p in parts for x in p[6]]
+        del parts
+        by = _order(d, t, first, body, shard)
+        same = np.zeros(len(by), dtype=bool)
+        same[1:] = (shard[by][1:] == shard[by][:-1]) & (body[by][1:] == body[by][:-1])
+        later = np.zeros(len(by), dtype=bool)
+        later[by] = same & _later(d[by], t[by], first[by], same)
+        s = np.flatnonzero(~later)
+        for i in range(0, len(s), 20_000):
+            yield _sent(shard, d, t, first, n, bytes_, s[i:i + 20_000])
+        # what comes later: whole stretches of strings
+        s = np.flatnonzero(later)
+        s = s[_order(d[s], t[s], first[s])]
+        past = first[s] + n[s]
+        cut = np.ones(len(s), dtype=bool)
+        cut[1:] = (d[s][1:] != d[s][:-1]) | (t[s][1:] != t[s][:-1]) | (first[s][1:] > past[:-1])
+        lead = s[cut]
+        if len(lead):
+            n[lead] = np.maximum.reduceat(past, np.flatnonzero(cut)) - first[lead]
             bytes_[lead] = None
             yield _sent(shard, d, t, first, n, bytes_, lead)
 
@@ -300,8 +309,9 @@ def repeated_strings(shard, doc, text_hash, first, n, bodies, size: int):
     same[1:] = (shard_[1:] == shard_[:-1]) & (body_[1:] == body_[:-1])
     later = same & _later(doc[by], text_hash[by], first[by], same)
     run, a, z = [by[later]], [np.zeros(later.sum(), dtype=np.int64)], [n[by[later]]]
-    # different runs under one key
+    # different runs under one key (a hot string has no bytes here)
     lead = by[~same]
+    lead = lead[np.fromiter((len(bodies[i]) >= size for i in lead.tolist()), dtype=bool, count=len(lead))]
     _, inverse, count = np.unique(shard[lead], return_inverse=True, return_counts=True)
     lead = lead[count[inverse] > 1]
     key = shard[lead]

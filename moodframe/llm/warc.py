@@ -13,13 +13,15 @@ digests.
 Archives lie in a folder that all executors share, opened through pyarrow's
 file systems. A task writes under a name of its own attempt and renames it when
 it is complete, so a task that is repeated replaces its archive by an equal
-one; the list of archives is itself a written table.
+one; the list of archives is itself a written table. Each record is a gzip member of
+its own, as is usual for WARC; compression and decompression are streamed too.
 """
 from __future__ import annotations
 
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -33,6 +35,7 @@ from .common import shared_folder, written
 
 CHUNK = 16 << 10           # 10,000 such rows, an Arrow batch, are 160 MB
 ARCHIVE_BYTES = 256 << 20       # an archive is closed behind the record that passes this
+LEVEL = 3                       # of compression
 ROWS_OUT = 256                  # chunk rows in one Arrow batch
 REVISIT_LEAST = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -93,12 +96,22 @@ class _Archives:
         self.fs.create_dir(self.root, recursive=True)
 
     def open(self) -> None:
-        self.final = f"{self.root}/part-{self.part:05d}-{self.n:05d}.warc"
+        self.final = f"{self.root}/part-{self.part:05d}-{self.n:05d}.warc.gz"
         self.own = f"{self.root}/.attempt-{self.attempt}-{self.part:05d}-{self.n:05d}"
-        self.out = self.fs.open_output_stream(self.own)
-        self.n, self.records, self.size = self.n + 1, 0, 0
+        self.out = self.fs.open_output_stream(self.own, compression=None)
+        self.n, self.records, self.size, self.member = self.n + 1, 0, 0, None
+
+    def begin(self) -> None:
+        self.member = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+        self.records += 1
 
     def write(self, data: bytes) -> None:
+        self._put(self.member.compress(data))
+
+    def end(self) -> None:
+        self._put(self.member.compress(b"\r\n\r\n") + self.member.flush())
+
+    def _put(self, data: bytes) -> None:
         self.out.write(data)
         self.size += len(data)
 
@@ -120,16 +133,16 @@ def write_archives(cut: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYT
             for row in b.to_pylist():
                 if row["chunk_no"] == 0:
                     if to.out is not None:
-                        to.write(b"\r\n\r\n")
+                        to.end()
                         if to.size >= archive_bytes:
                             done.append(to.close())
                     if to.out is None:
                         to.open()
-                    to.records += 1
+                    to.begin()
                     to.write(_head(row))
                 to.write(row["data"])
         if to.out is not None:
-            to.write(b"\r\n\r\n")
+            to.end()
             done.append(to.close())
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["archive", "n_records", "n_bytes"])
 
@@ -137,6 +150,32 @@ def write_archives(cut: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYT
 
 
 # ---- reading ---------------------------------------------------------------------
+class Members:
+    """The bytes of a stream of gzip members, at most so many at a time."""
+
+    def __init__(self, stream):
+        self.stream, self.member, self.raw = stream, None, b""
+
+    def read(self, size: int) -> bytes:
+        while True:
+            if self.member is None:
+                self.raw = self.raw or self.stream.read(size)
+                if not self.raw:
+                    return b""
+                self.member = zlib.decompressobj(31)
+            out = self.member.decompress(self.raw, size)
+            if self.member.eof:
+                self.raw, self.member = self.member.unused_data, None
+            else:
+                self.raw = self.member.unconsumed_tail
+            if out:
+                return out
+            if self.member is not None and not self.raw:
+                self.raw = self.stream.read(size)
+                if not self.raw:
+                    raise ValueError("an archive that ends within a member")
+
+
 class _Stream:
     """Reads lines and bounded pieces from a stream."""
 
@@ -217,8 +256,8 @@ def read_archives(archives: DataFrame, folder: str, payload: bool = True) -> Dat
         for b in batches:
             for name in b.column(0).to_pylist():
                 rows = []
-                with fs.open_input_stream(f"{root}/{name}") as stream:
-                    for row in records_of(stream):
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
+                    for row in records_of(Members(stream)):
                         if payload or row["last"]:
                             rows.append(row if payload else row | {"data": None})
                         if len(rows) == (ROWS_OUT if payload else 20 * ROWS_OUT):

@@ -1,4 +1,5 @@
 """Archives read back against the pages, with a plain WARC reading beside."""
+import gzip
 import hashlib
 import io
 import random
@@ -28,11 +29,11 @@ def test_pages_come_back(spark, tmp_path):
     pages += [pages[7], (None, "u", bodies[4]), (None, None, "only nameless " * 100), (None, None, "only nameless " * 100)]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, data string").repartition(4)
     for size in (1 << 30, 50_000):
-        got = op.archive_pages(df, f"file://{tmp_path}/warc{size}", archive_bytes=size)
+        got = op.archive_pages(df, f"file://{tmp_path}/warc{size}", archive_bytes=size // 10)
         assert sorted(map(tuple, got.collect()), key=str) == sorted(plain(pages), key=str)
-    names = list((tmp_path / "warc50000").glob("*.warc"))
+    names = list((tmp_path / "warc50000").glob("*.warc.gz"))
     assert len(names) >= 3 and not list((tmp_path / "warc50000").glob(".attempt*"))
-    types = sum(name.read_bytes().count(b"\r\nWARC-Type: ") for name in names)
+    types = sum(gzip.decompress(name.read_bytes()).count(b"\r\nWARC-Type: ") for name in names)
     assert types == len(pages)
 
 
@@ -56,3 +57,8 @@ def test_empty_and_broken(spark, tmp_path):
     for bad in (good[:-6], good.replace(b"abc", b"abd"), b"x" + good, good[:-4] + b"....", good + b"WARC/1.1"):
         with pytest.raises(ValueError):
             list(op.records_of(io.BytesIO(bad)))
+    packed = gzip.compress(good) + gzip.compress(good * 50)
+    for size in (1, 7, 1 << 16):
+        assert len(list(op.records_of(op.Members(io.BytesIO(packed)), size))) == 51 * (3 if size == 1 else 1)
+    with pytest.raises(ValueError):
+        list(op.records_of(op.Members(io.BytesIO(packed[:-9]))))

@@ -162,13 +162,22 @@ s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {ADMIT_PERIOD} THEN 1 ELSE 0
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM l)
 SELECT event_id, client, row_number() OVER (PARTITION BY client, session ORDER BY ts, event_id) <= {ADMIT_CALLS} AS accepted FROM s""")
 def w10_admission_sessions(spark, sf_dir):
+    """An approximation of w10_admission_exact: a session ends at an idle gap."""
     return mo.admission_by_session(_req(spark, sf_dir), ADMIT_CALLS, ADMIT_PERIOD).select("event_id", "client", "accepted")
 
 
-@register("w10_admission_exact")
+# The rule itself, client by client and request by request.
+ADMIT_SQL = f"""WITH RECURSIVE r AS (SELECT user_id AS client, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+s AS (SELECT client, event_id, rn, 1 AS n, t AS last, true AS accepted FROM r WHERE rn = 1
+  UNION ALL SELECT r.client, r.event_id, r.rn, CASE WHEN r.t - s.last >= {ADMIT_PERIOD} THEN 1 WHEN s.n < {ADMIT_CALLS} THEN s.n + 1 ELSE s.n END,
+    CASE WHEN r.t - s.last >= {ADMIT_PERIOD} OR s.n < {ADMIT_CALLS} THEN r.t ELSE s.last END, r.t - s.last >= {ADMIT_PERIOD} OR s.n < {ADMIT_CALLS}
+  FROM s JOIN r ON r.client = s.client AND r.rn = s.rn + 1)
+SELECT event_id, client, accepted FROM s"""
+
+
+@register("w10_admission_exact", ADMIT_SQL)
 def w10_admission_exact(spark, sf_dir):
-    """Exact rule (rejects do not extend a session); checked against a
-    brute-force replay in tests."""
+    """The exact rule (rejects do not extend a session)."""
     return mo.admission_exact(_req(spark, sf_dir), ADMIT_CALLS, ADMIT_PERIOD).select("event_id", "client", "accepted")
 
 

@@ -21,11 +21,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     links = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     last = _state(links)
     while True:
+        # minima are written tables: a join of two plain exchanges can be split
+        # where a node has very many links, one above an aggregate can't
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # large star: (larger neighbour, smallest seen); here links hold the pairs (u > v) both ways
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = written(large.distinct(), name)
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         links = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name)
         now = _state(links)

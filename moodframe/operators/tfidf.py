@@ -5,9 +5,10 @@ Weights follow the smoothed form w = tf * (ln((1+n)/(1+df)) + 1), then L2
 normalisation per document (Spark ML's IDF omits the +1, so the idf vector
 is computed here and applied with ElementwiseProduct).
 
-Scale notes: n-grams are exploded once; (doc, term) counts are a partial
-aggregate inside the scan partitions before the shuffle; the vocabulary is a
-top-k (TakeOrdered) and is the only thing broadcast, its size bounded by k.
+Scale notes: the vocabulary comes from one partial aggregate by term and a
+top-k (TakeOrdered); it is the only thing broadcast, its size bounded by k.
+Counts by document are made for its terms alone, so a document shuffles at most
+k rows.
 """
 from __future__ import annotations
 
@@ -51,16 +52,20 @@ def char_ngrams(text: Column, n_min: int = 2, n_max: int = 4) -> Column:
     return F.concat(*[F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in range(n_min, n_max + 1)])
 
 
-def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(key, term, tf): one row per distinct term of a document."""
-    return df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_stats(df: DataFrame, terms: Column) -> DataFrame:
+    """(term, df, ctf): documents that hold the term, and its occurrences. A
+    document brings its distinct terms and all its terms, so one partial
+    aggregate by term gives both and no (document, term) row is shuffled."""
+    g = df.select(terms.alias("_g"))
+    twice = g.select(F.explode(F.array(F.struct(F.array_distinct("_g").alias("t"), F.lit(1).alias("d")), F.struct(F.col("_g").alias("t"), F.lit(0).alias("d")))).alias("x"))
+    rows = twice.select(F.col("x.d").alias("d"), F.explode("x.t").alias("term"))
+    return rows.groupBy("term").agg(F.sum("d").alias("df"), F.sum(1 - F.col("d")).alias("ctf"))
 
 
-def vocabulary(counts: DataFrame, n_docs: int, k: int, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
+def vocabulary(stats: DataFrame, n_docs: int, k: int, min_df: int = 1, max_df: float = 1.0) -> DataFrame:
     """(term, df, ctf, idx, idf) for the top-k terms by corpus frequency
     after the document-frequency bounds; ties by term ascending."""
     max_count = max_df * n_docs if isinstance(max_df, float) else max_df
-    stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
     kept = stats.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_count)))
     top = kept.orderBy(F.col("ctf").desc(), F.col("term")).limit(k)
     # The window runs over the k kept terms only.
@@ -68,12 +73,19 @@ def vocabulary(counts: DataFrame, n_docs: int, k: int, min_df: int = 1, max_df:
                       (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def tfidf_weights(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """(key, term, idx, weight): L2-normalised tf*idf over the vocabulary."""
-    v = F.broadcast(vocab.select("term", "idx", "idf"))
-    w = counts.join(v, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norms, key).select(key, "term", "idx", (F.col("w") / F.col("_norm")).alias("weight"))
+def term_counts(df: DataFrame, key: str, terms: Column, vocab: DataFrame) -> DataFrame:
+    """(key, term, idx, idf, tf) for the terms of the vocabulary (k rows, a
+    broadcast): at most k rows a document are shuffled."""
+    found = df.select(key, F.explode(terms).alias("term")).join(F.broadcast(vocab.select("term", "idx", "idf")), "term")
+    return found.groupBy(key, "term", "idx", "idf").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def tfidf_weights(counts: DataFrame, key: str) -> DataFrame:
+    """(key, term, idx, weight): L2-normalised tf*idf; the norm is a sum over
+    the at most k rows of a document."""
+    w = F.col("tf") * F.col("idf")
+    norm = F.sqrt(F.sum(w * w).over(Window.partitionBy(key)))
+    return counts.select(key, "term", "idx", (w / norm).alias("weight"))
 
 
 def tfidf_stages(vocab_rows, input_col: str, output_col: str):
@@ -111,8 +123,7 @@ def nb_fit(train_counts: DataFrame, labels: DataFrame, key: str, vocab: DataFram
     n = sum(c for _, c in shares)
     priors = {k: math.log(c / n) for k, c in shares}
     v_size = vocab.count()
-    vt = F.broadcast(vocab.select("term"))
-    c = train_counts.join(vt, "term").join(labels.select(key, label_col), key)
+    c = train_counts.join(labels.select(key, label_col), key)
     n_ct = c.groupBy(label_col, "term").agg(F.sum("tf").alias("n_ct"))
     full = (_with_classes(vocab.select("term"), list(priors), label_col)
             .join(n_ct, [label_col, "term"], "left").fillna(0, ["n_ct"]))
@@ -142,7 +153,7 @@ def chi2_scores(counts: DataFrame, labels: DataFrame, vocab: DataFrame, key: str
     shares = _class_shares(labels, label_col)
     n = float(sum(c for _, c in shares))
     sm = F.create_map(*[x for k, c in shares for x in (F.lit(k), F.lit(c / n))])
-    c = counts.join(F.broadcast(vocab.select("term")), "term").join(labels.select(key, label_col), key)
+    c = counts.join(labels.select(key, label_col), key)
     obs = c.groupBy(label_col, "term").agg(F.sum("tf").alias("obs"))
     ftot = obs.groupBy("term").agg(F.sum("obs").alias("ftot"))
     full = (_with_classes(vocab.select("term"), [k for k, _ in shares], label_col)

@@ -66,39 +66,38 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", "text")
 
 
+def _model(docs, terms, k, min_df, max_df, name):
+    """The counts of vocabulary terms, and the vocabulary: a small table, written
+    once because several steps read it."""
+    vocab = materialize(tf.vocabulary(tf.term_stats(docs, terms), docs.count(), k, min_df, max_df), name)
+    return tf.term_counts(docs, "doc_id", terms, vocab), vocab
+
+
 def word_model(spark, sf_dir, n_max=3, k=2000, min_df=2, max_df=0.95):
-    d = _docs(spark, sf_dir)
-    n = d.count()
-    toks = d.select("doc_id", tf.word_tokens(F.col("text")).alias("toks"))
-    # The counts feed the vocabulary, the weights and the models: computed
-    # once and kept in the shared checkpoint folder (lineage cut too).
-    counts = materialize(tf.term_counts(toks, "doc_id", tf.word_ngrams(F.col("toks"), 1, n_max)), "word-counts")
-    return counts, tf.vocabulary(counts, n, k, min_df, max_df)
+    toks = _docs(spark, sf_dir).select("doc_id", tf.word_tokens(F.col("text")).alias("toks"))
+    return _model(toks, tf.word_ngrams(F.col("toks"), 1, n_max), k, min_df, max_df, "word-vocabulary")
 
 
 def char_model(spark, sf_dir, k=500):
-    d = _docs(spark, sf_dir)
-    n = d.count()
-    counts = materialize(tf.term_counts(d, "doc_id", tf.char_ngrams(F.col("text"))), "char-counts")
-    return counts, tf.vocabulary(counts, n, k, 1, 1.0)
+    return _model(_docs(spark, sf_dir), tf.char_ngrams(F.col("text")), k, 1, 1.0, "char-vocabulary")
 
 
 @register("m1_word_tfidf", _vocab_sql(_word_cte(3), 2000, 2, 0.95) + "\n" + WEIGHTS_SELECT)
 def m1_word_tfidf(spark, sf_dir):
-    counts, vocab = word_model(spark, sf_dir)
-    return round_doubles(tf.tfidf_weights(counts, vocab, "doc_id").select("doc_id", "term", "weight"))
+    counts, _ = word_model(spark, sf_dir)
+    return round_doubles(tf.tfidf_weights(counts, "doc_id").select("doc_id", "term", "weight"))
 
 
 @register("m2_fallback_word_tfidf", _vocab_sql(_word_cte(2), 1000, 1, 1.0) + "\n" + WEIGHTS_SELECT)
 def m2_fallback_word_tfidf(spark, sf_dir):
-    counts, vocab = word_model(spark, sf_dir, n_max=2, k=1000, min_df=1, max_df=1.0)
-    return round_doubles(tf.tfidf_weights(counts, vocab, "doc_id").select("doc_id", "term", "weight"))
+    counts, _ = word_model(spark, sf_dir, n_max=2, k=1000, min_df=1, max_df=1.0)
+    return round_doubles(tf.tfidf_weights(counts, "doc_id").select("doc_id", "term", "weight"))
 
 
 @register("m3_char_tfidf", _vocab_sql(_char_cte(), 500, 1, 1.0) + "\n" + WEIGHTS_SELECT)
 def m3_char_tfidf(spark, sf_dir):
-    counts, vocab = char_model(spark, sf_dir)
-    return round_doubles(tf.tfidf_weights(counts, vocab, "doc_id").select("doc_id", "term", "weight"))
+    counts, _ = char_model(spark, sf_dir)
+    return round_doubles(tf.tfidf_weights(counts, "doc_id").select("doc_id", "term", "weight"))
 
 
 @register("t3_vocabulary_top_k", _vocab_sql(_word_cte(3), 2000, 2, 0.95) + f"""
@@ -131,6 +130,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, labe
 SELECT doc_id, label AS prediction, {r6('score')} AS score FROM b WHERE r = 1""")
 def m9_naive_bayes_sql_form(spark, sf_dir):
     counts, vocab = word_model(spark, sf_dir)
+    counts = materialize(counts, "word-counts")         # read for the fit and for the prediction
     lab = ds.labelled_documents(spark, sf_dir).filter(F.col("text").isNotNull()).select("doc_id", "label")
     split = sm.stratified_split(lab)
     train = split.filter(F.col("split") == "train").select("doc_id", "label")

@@ -9,9 +9,8 @@ from moodframe.sources import readers as rd
 from moodframe.sources import sinks as sk
 
 
-def test_strict_loader_sniffs_and_validates(spark):
-    path = scratch_path(spark, "t-s1")
-    os.makedirs(path)
+def test_strict_loader_sniffs_and_validates(spark, tmp_path):
+    path = str(tmp_path)
     with open(os.path.join(path, "a.csv"), "w") as f:
         f.write('review;score;extra\n"good; really";2;x\n"bad";1.7;y\n"meh";positive;z\n"x";5;w\n')
     got = sorted((r.text, r.label) for r in rd.read_labeled(spark, path).collect())

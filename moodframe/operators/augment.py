@@ -97,17 +97,21 @@ def template_based(text: Column, key: Column, lang: str = "en", seed: int = 42)
     return F.replace(t, F.lit("{text}"), text)
 
 
-def augment_rows(df: DataFrame, key: str, text_col: str, n_per_sample: int = 2, seed: int = 42) -> DataFrame:
-    """Original plus the first ``n_per_sample`` variants
-    (synonym replacement, insertion, swap, deletion, template), label kept."""
+METHODS = ("synonym", "insert", "swap", "delete", "template")
+
+
+def augment_rows(df: DataFrame, key: str, text_col: str, n_per_sample: int = 2, seed: int = 42, methods=METHODS) -> DataFrame:
+    """The original (variant 0) and the variants of the first
+    ``n_per_sample`` of ``methods``, label kept; an unknown method is passed over."""
     w = df.withColumn("_w", tx.split_ws(F.col(text_col)))
     w = synonym_replacement(w, "_w", key, "_syn", seed)
     k = F.col(key)
-    variants = [F.array_join(F.col("_syn"), " "),
-                F.array_join(random_insertion(F.col("_w"), k, seed), " "),
-                F.array_join(random_swap(F.col("_w"), k, seed), " "),
-                F.array_join(random_deletion(F.col("_w"), k, seed), " "),
-                template_based(F.col(text_col), k, "en", seed)][:n_per_sample]
+    made = {"synonym": lambda: F.array_join(F.col("_syn"), " "),
+            "insert": lambda: F.array_join(random_insertion(F.col("_w"), k, seed), " "),
+            "swap": lambda: F.array_join(random_swap(F.col("_w"), k, seed), " "),
+            "delete": lambda: F.array_join(random_deletion(F.col("_w"), k, seed), " "),
+            "template": lambda: template_based(F.col(text_col), k, "en", seed)}
+    variants = [made[m]() for m in methods if m in made][:n_per_sample]
     allv = F.array(F.col(text_col), *variants)
     return w.select("*", F.posexplode(allv).alias("variant", "aug_text")).drop("_w", "_syn")
 
@@ -170,6 +174,15 @@ def quota_table(df_n: DataFrame, topic_weights: dict, sentiment_ratios: dict) ->
     return df_n.select(F.explode(F.array(*rows)).alias("q")).select("q.*")
 
 
+def quota_rows(quotas: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """(topic, sentiment, i) for i = 1..count: the numbers are made in chunks that
+    are dealt over tasks, so no quota is one task's work."""
+    last = F.floor((F.col("count") - 1) / chunk).cast("long")
+    cut = quotas.where("count > 0").select("topic", "sentiment", "count", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_c"))
+    cut = cut.repartition("topic", "sentiment", "_c")
+    return cut.select("topic", "sentiment", F.explode(F.sequence(F.col("_c") * chunk + 1, F.least((F.col("_c") + 1) * chunk, F.col("count")))).alias("i"))
+
+
 # Own small informal-variant table (word -> variants; the first is used).
 VARIANTS = {"you": ["u", "ya"], "are": ["r"], "the": ["da"], "and": ["n", "nd"], "to": ["2"], "for": ["4"]}
 

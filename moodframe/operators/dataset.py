@@ -130,14 +130,27 @@ def class_proportions(df: DataFrame, label_col: str = "label") -> DataFrame:
                          (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
 
 
-def dedup_keep_first(df: DataFrame, key_cols, order_col: str) -> DataFrame:
-    """Keep the row with the smallest ``order_col`` per key; deterministic,
-    unlike dropDuplicates. Partial aggregation runs before the shuffle, so a
-    hot key costs one row per map task, not all its copies."""
+def hashed_keys(df: DataFrame, keys: list[str]) -> list[Column]:
+    """Grouping keys that stand for the columns: 128-bit digests of strings, so
+    that no text is a shuffle key, and other columns as they are."""
+    kinds = dict(df.dtypes)
+    return [(F.md5(F.col(c)) if kinds[c] == "string" else F.col(c)).alias(f"_k{i}") for i, c in enumerate(keys)]
+
+
+def dedup_keep_first(df: DataFrame, key_cols, order_col: str, keep: list[str] | None = None) -> DataFrame:
+    """The row (or its columns ``keep``) with the smallest ``order_col`` per
+    key; deterministic, unlike dropDuplicates. Keys are grouped by digest, and
+    partial aggregation runs before the shuffle, so a hot key costs one row per
+    map task, not all its copies."""
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
-    others = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.col(order_col)).alias("_r"))
-    return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
+    keep = keep or df.columns
+    picked = df.groupBy(*hashed_keys(df, keys)).agg(F.min_by(F.struct(*keep), F.col(order_col)).alias("_r"))
+    return picked.select("_r.*")
+
+
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Distinct rows, grouped by the digests of their texts."""
+    return df.groupBy(*hashed_keys(df, df.columns)).agg(F.first(F.struct(*df.columns)).alias("_r")).select("_r.*")
 
 
 def features_and_labels(df: DataFrame, text_col: str = "cleaned_text", label_col: str = "label") -> DataFrame:

@@ -160,3 +160,26 @@ def chi2_scores(counts: DataFrame, labels: DataFrame, vocab: DataFrame, key: str
             .join(obs, [label_col, "term"], "left").fillna(0, ["obs"]).join(ftot, "term"))
     full = full.withColumn("exp", F.element_at(sm, F.col(label_col)) * F.col("ftot"))
     return full.groupBy("term").agg(F.sum((F.col("obs") - F.col("exp")) ** 2 / F.col("exp")).alias("chi2"))
+
+
+def mutual_information(counts: DataFrame, labels: DataFrame, vocab: DataFrame, key: str, label_col: str = "label") -> DataFrame:
+    """Mutual information (nats) of a term's presence in a document and the
+    class, from the joint document counts."""
+    shares = dict(_class_shares(labels, label_col))
+    n = float(sum(shares.values()))
+    size = F.create_map(*[x for k, c in shares.items() for x in (F.lit(k), F.lit(float(c)))])
+    with_term = counts.join(labels.select(key, label_col), key).groupBy(label_col, "term").agg(F.count(F.lit(1)).cast("double").alias("n_tc"))
+    full = (_with_classes(vocab.select("term"), list(shares), label_col)
+            .join(with_term, [label_col, "term"], "left").fillna(0.0, ["n_tc"]).withColumn("n_c", F.element_at(size, F.col(label_col))))
+    # a window of as many rows as there are classes
+    full = full.withColumn("n_t", F.sum("n_tc").over(Window.partitionBy("term")))
+
+    def part(joint: Column, of_term: Column) -> Column:
+        return F.when(joint > 0, joint / n * F.log(joint * n / (of_term * F.col("n_c")))).otherwise(F.lit(0.0))
+    mi = part(F.col("n_tc"), F.col("n_t")) + part(F.col("n_c") - F.col("n_tc"), n - F.col("n_t"))
+    return full.groupBy("term").agg(F.sum(mi).alias("mi"))
+
+
+def select_features(scores: DataFrame, k: int, score: str) -> DataFrame:
+    """The k terms of the highest score, ties by term."""
+    return scores.orderBy(F.col(score).desc(), "term").limit(k)

@@ -20,13 +20,12 @@ def attach_predictions(rows: DataFrame, scored: DataFrame, key: str, pred_col: s
 
 
 def score_distinct_texts(df: DataFrame, text_col: str, scorer) -> DataFrame:
-    """Score each distinct text once and join the score back on
-    (xxhash64(text), text); the hash makes the join key cheap to shuffle and
-    the text keeps it exact."""
-    d = df.withColumn("_th", F.xxhash64(text_col))
-    uniq = d.select("_th", text_col).distinct()
-    scored = uniq.withColumn("score", scorer(F.col(text_col)))
-    return d.join(scored, ["_th", text_col], "left").drop("_th")
+    """Score each distinct text once and join the score back by the text's
+    128-bit digest, so that no text is a shuffle key. A null text has no score."""
+    d = df.withColumn("_th", F.md5(text_col))
+    uniq = d.where(F.col(text_col).isNotNull()).groupBy("_th").agg(F.first(text_col).alias("_text"))
+    scored = uniq.select("_th", scorer(F.col("_text")).alias("score"))
+    return d.join(scored, "_th", "left").drop("_th")
 
 
 def parent_link(turns: DataFrame, thread: str = "conv_id", pos: str = "turn") -> DataFrame:

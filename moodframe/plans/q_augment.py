@@ -79,12 +79,35 @@ def g5_template_based(spark, sf_dir):
     return d.select("doc_id", F.md5(ag.template_based(F.col("text"), F.col("doc_id"))).alias("aug_md5"))
 
 
-@register("g7_u4_augment_dataset", f"""WITH d AS ({LABELLED_DOCS})
-SELECT label, CAST(count(*) * 3 AS BIGINT) AS n FROM d WHERE text IS NOT NULL GROUP BY label""")
+SYN_CASE = "CASE {} " + " ".join(f"WHEN '{a}' THEN {lx.sql_str_list(b)}" for a, b in ag.SYNONYMS.items()) + " END"
+
+G7_SQL = f"""WITH d AS (SELECT doc_id, label, text, {tx.sql_split_ws('text')} AS w FROM ({LABELLED_DOCS}) WHERE text IS NOT NULL),
+k AS (SELECT *, list_filter(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: list_contains({lx.sql_str_list(list(ag.SYNONYMS))}, x)) AS known FROM d),
+c AS (SELECT *, known[{_pick('len(known)', 'g1w')} + 1] AS cw, {lx.sql_str_list(list(ag.SYNONYMS))}[{_pick(str(len(ag.SYNONYMS)), 'g2k')} + 1] AS kw FROM k),
+s AS (SELECT *, {SYN_CASE.format('cw')} AS syns, {SYN_CASE.format('kw')} AS syns2, list_filter(range(0, len(w)), lambda i: w[i + 1] = cw) AS pos FROM c),
+r AS (SELECT *, pos[{_pick('len(pos)', 'g1p')} + 1] AS idx, {_pick('len(w) + 1', 'g2i')} AS gap FROM s)
+SELECT doc_id, label, 0 AS variant, md5(text) AS text_md5 FROM d
+UNION ALL SELECT doc_id, label, 1, md5(CASE WHEN len(known) > 0 THEN array_to_string(list_concat(list_concat(w[1:idx], [syns[{_pick('len(syns)', 'g1s')} + 1]]), w[idx + 2:]), ' ')
+  ELSE array_to_string(w, ' ') END) FROM r
+UNION ALL SELECT doc_id, label, 2, md5(array_to_string(list_concat(list_concat(w[1:gap], [syns2[{_pick('len(syns2)', 'g2s')} + 1]]), w[gap + 1:]), ' ')) FROM r"""
+
+
+@register("g7_u4_augment_dataset", G7_SQL)
 def g7_augment_dataset(spark, sf_dir):
     d = ds.labelled_documents(spark, sf_dir).filter(F.col("text").isNotNull()).select("doc_id", "text", "label")
     a = ag.augment_rows(d, "doc_id", "text", n_per_sample=2)
-    return a.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return a.select("doc_id", "label", "variant", F.md5("aug_text").alias("text_md5"))
+
+
+@register("g6_method_list", f"""WITH d AS ({W_SQL}),
+k AS (SELECT *, list_filter(w, lambda x, i: {hz.sql_u01('doc_id', 42, 'g4', 'i - 1')} > 0.1) AS kept FROM d)
+SELECT doc_id, 1 AS variant, md5(replace({lx.sql_str_list(ag.TEMPLATES['en'])}[{_pick('5', 'g5')} + 1], '{{text}}', text)) AS text_md5 FROM d
+UNION ALL SELECT doc_id, 2, md5(array_to_string(CASE WHEN len(w) <= 1 THEN w WHEN len(kept) = 0 THEN [w[{_pick('len(w)', 'g4r')} + 1]] ELSE kept END, ' ')) FROM k""")
+def g6_method_list(spark, sf_dir):
+    """Chosen methods in their order, an unknown one passed over."""
+    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", "text")
+    a = ag.augment_rows(d, "doc_id", "text", 9, methods=["template", "unknown", "delete"])
+    return a.where("variant > 0").select("doc_id", "variant", F.md5("aug_text").alias("text_md5"))
 
 
 def _deco_sql(kind):
@@ -133,29 +156,30 @@ def _g20_sql(key, topic, sent):
 @register("g20_g22_topic_comments", f"""WITH d AS ({LABELLED_DOCS}),
 t AS (SELECT doc_id, label, CASE WHEN doc_id % 3 = 0 THEN 'product' WHEN doc_id % 3 = 1 THEN 'service' ELSE 'other' END AS topic FROM d),
 g AS (SELECT doc_id, label, topic, unnest(range(1, 3)) AS k FROM t)
-SELECT doc_id, k, {_g20_sql("(doc_id * 10 + k)", 'topic', 'label')} AS comment FROM g""")
+SELECT doc_id, k, {_g20_sql("concat_ws('/', CAST(doc_id AS VARCHAR), CAST(k AS VARCHAR))", 'topic', 'label')} AS comment FROM g""")
 def g20_g22_topic_comments(spark, sf_dir):
     """Two generated comments per labelled document, topic from the id,
     sentiment from its label."""
     d = ds.labelled_documents(spark, sf_dir).select("doc_id", "label")
     topic = F.when(F.col("doc_id") % 3 == 0, "product").when(F.col("doc_id") % 3 == 1, "service").otherwise("other")
     g = d.select("doc_id", "label", topic.alias("topic"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("k"))
-    return g.select("doc_id", F.col("k").cast("long"), ag.fill_template(F.col("topic"), F.col("label"), F.col("doc_id") * 10 + F.col("k")).alias("comment"))
+    return g.select("doc_id", F.col("k").cast("long"), ag.fill_template(F.col("topic"), F.col("label"), F.concat_ws("/", F.col("doc_id").cast("string"), F.col("k").cast("string"))).alias("comment"))
 
 
 @register("g23_training_data_generator", f"""WITH n AS (SELECT count(*) AS N FROM labels),
 q AS (SELECT t.topic, s.sentiment, CAST(floor(floor(n.N * t.w) * s.r) AS BIGINT) AS cnt FROM n,
   (VALUES {', '.join(f"('{t}', {w})" for t, w in TOPIC_W.items())}) t(topic, w), (VALUES {', '.join(f'({s}, {r})' for s, r in SENT_R.items())}) s(sentiment, r)),
 g AS (SELECT topic, sentiment, unnest(range(1, cnt + 1)) AS i FROM q),
-c AS (SELECT *, {_g20_sql("(sentiment * 1000000 + i)", 'topic', 'sentiment')} AS comment FROM g)
+c AS (SELECT *, {_g20_sql("concat_ws('/', topic, CAST(sentiment AS VARCHAR), CAST(i AS VARCHAR))", 'topic', 'sentiment')} AS comment FROM g)
 SELECT comment, CAST(min(sentiment) AS INTEGER) AS label FROM c GROUP BY comment""")
 def g23_training_data_generator(spark, sf_dir):
     """Quota table (N = labelled rows) -> rows per (topic, sentiment) ->
     template fill -> de-dup by comment (smallest label) -> seeded shuffle."""
     n = table(spark, sf_dir, "labels").agg(F.count(F.lit(1)).alias("N"))
     q = ag.quota_table(n, TOPIC_W, SENT_R)
-    g = q.select("topic", "sentiment", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("i"))
-    c = g.select(ag.fill_template(F.col("topic"), F.col("sentiment"), F.col("sentiment") * 1000000 + F.col("i")).alias("comment"),
+    g = ag.quota_rows(q)
+    key = F.concat_ws("/", "topic", F.col("sentiment").cast("string"), F.col("i").cast("string"))
+    c = g.select(ag.fill_template(F.col("topic"), F.col("sentiment"), key).alias("comment"),
                  F.col("sentiment").alias("label"))
     d = c.groupBy("comment").agg(F.min("label").cast("int").alias("label"))
     return sm.seeded_shuffle(d, "comment").select("comment", "label")

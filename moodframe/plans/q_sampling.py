@@ -106,7 +106,7 @@ def u2_union_by_name(spark, sf_dir):
 SELECT DISTINCT md5(text) AS text_md5, lang FROM documents
 """)
 def u3_distinct_rows(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("text", "lang").distinct()
+    d = ds.distinct_rows(table(spark, sf_dir, "documents").select("text", "lang"))
     return d.select(F.md5("text").alias("text_md5"), "lang")
 
 
@@ -115,7 +115,7 @@ SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang FROM documents GROUP
 """)
 def w4_dedup_keep_first(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return ds.dedup_keep_first(d, "text", "doc_id").select("doc_id", "lang")
+    return ds.dedup_keep_first(d, "text", "doc_id", keep=["doc_id", "lang"])
 
 
 @register("a2_class_proportions", f"""

@@ -32,7 +32,7 @@ WHERE {_sql_coerce('label', False)} IS NOT NULL""")
 def s1_strict_labeled_csv(spark, sf_dir):
     raw = _raw_labelled(spark, sf_dir).select("text", "label", "doc_id")
     path = _csv(raw, "s1", sep=";")
-    return rd.read_labeled(spark, path).select(F.md5("text").alias("text_md5"), "label")
+    return rd.read_labeled(spark, path, multiline=True).select(F.md5("text").alias("text_md5"), "label")
 
 
 @register("s2_s4_plain_csv", f"""WITH d AS ({LABELLED_DOCS}) SELECT md5(text) AS text_md5, CAST(label AS VARCHAR) AS label FROM d""")
@@ -40,7 +40,7 @@ def s2_s4_plain_csv(spark, sf_dir):
     d = ds.labelled_documents(spark, sf_dir).select("text", F.col("label").cast("string"))
     path = _csv(d, "s2")
     missing = rd.read_manual(spark, path + "-missing")
-    return rd.read_manual(spark, path).unionByName(missing).select(F.md5("text").alias("text_md5"), "label")
+    return rd.read_manual(spark, path, multiline=True).unionByName(missing).select(F.md5("text").alias("text_md5"), "label")
 
 
 @register("s3_processed_by_language", "SELECT doc_id FROM documents WHERE lang = 'en'")
@@ -179,11 +179,10 @@ def k1_k3_write_and_append(spark, sf_dir):
 
 @register("k2_ingest_sink", """SELECT source, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY source""")
 def k2_ingest_sink(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("src"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
     path = scratch_path(spark, "k2")
-    for s in [r[0] for r in d.select("src").distinct().collect()]:
-        sk.write_ingest(d.filter(F.col("src") == s).drop("src"), path, s, "2024-01-01T00")
-    sk.write_ingest(d.filter(F.lit(False)), path, "empty", "2024-01-01T00")
+    sk.write_ingests(d, path, "2024-01-01T00")
+    sk.write_ingest(d.filter(F.lit(False)).drop("source"), path, "empty", "2024-01-01T00")
     return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -152,3 +152,19 @@ def m12_chi2_scores(spark, sf_dir):
     counts, vocab = word_model(spark, sf_dir)
     lab = ds.labelled_documents(spark, sf_dir).filter(F.col("text").isNotNull()).select("doc_id", "label")
     return round_doubles(tf.chi2_scores(counts, lab, vocab, "doc_id"))
+
+
+@register("m12_mutual_information", _vocab_sql(_word_cte(3), 2000, 2, 0.95) + f""",
+lab AS (SELECT doc_id, label FROM ({LABELLED_DOCS}) WHERE text IS NOT NULL),
+nn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM lab),
+cl AS (SELECT label, CAST(count(*) AS DOUBLE) AS n_c FROM lab GROUP BY label),
+tc AS (SELECT lab.label, c.term, CAST(count(*) AS DOUBLE) AS n_tc FROM c JOIN v ON v.term = c.term JOIN lab ON lab.doc_id = c.doc_id GROUP BY ALL),
+fl AS (SELECT v.term, cl.n_c, coalesce(tc.n_tc, 0) AS a, sum(coalesce(tc.n_tc, 0)) OVER (PARTITION BY v.term) AS n_t, n FROM cl JOIN v ON true
+       LEFT JOIN tc ON tc.label = cl.label AND tc.term = v.term CROSS JOIN nn),
+mi AS (SELECT term, sum(CASE WHEN a > 0 THEN a / n * ln(a * n / (n_t * n_c)) ELSE 0 END
+  + CASE WHEN n_c - a > 0 THEN (n_c - a) / n * ln((n_c - a) * n / ((n - n_t) * n_c)) ELSE 0 END) AS mi FROM fl GROUP BY term)
+SELECT term, {r6('mi')} AS mi FROM mi""")
+def m12_mutual_information(spark, sf_dir):
+    counts, vocab = word_model(spark, sf_dir)
+    lab = ds.labelled_documents(spark, sf_dir).filter(F.col("text").isNotNull()).select("doc_id", "label")
+    return round_doubles(tf.mutual_information(counts, lab, vocab, "doc_id").select("term", "mi"))

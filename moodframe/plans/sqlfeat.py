@@ -61,15 +61,15 @@ def linguistic(t: str, lang: str = "en", rounded: bool = True) -> list[str]:
     return [f"{c} AS {a}" for c, a in zip(cols, fx.LING_COLS)]
 
 
-def emotion(t: str, lang: str = "en") -> list[str]:
+def emotion(t: str, lang: str = "en", rounded: bool = True) -> list[str]:
     low = f"lower({t})"
     ws = words(low)
     n = f"len({ws})"
     kws = lx.keywords(lang)
-    cols = [f"{ratio(count_in(ws, kws[e]), n)} AS e_{e}" for e in lx.EMOTIONS_SORTED]
-    cols += [f"{ratio(f'len(regexp_extract_all({low}, {chr(39)}!{chr(39)}))', f'length({low})')} AS e13_exclaim_ratio",
-             f"{ratio(f'len(regexp_extract_all({low}, {chr(39)}[?]{chr(39)}))', f'length({low})')} AS e14_question_ratio",
-             f"{ratio(f'len(regexp_extract_all({low}, {chr(39)}{fx.EMOJI}{chr(39)}))', f'length({low})')} AS e15_emoji_ratio"]
+    cols = [f"{ratio(count_in(ws, kws[e]), n, rounded)} AS e_{e}" for e in lx.EMOTIONS_SORTED]
+    cols += [f"{ratio(f'len(regexp_extract_all({low}, {chr(39)}!{chr(39)}))', f'length({low})', rounded)} AS e13_exclaim_ratio",
+             f"{ratio(f'len(regexp_extract_all({low}, {chr(39)}[?]{chr(39)}))', f'length({low})', rounded)} AS e14_question_ratio",
+             f"{ratio(f'len(regexp_extract_all({low}, {chr(39)}{fx.EMOJI}{chr(39)}))', f'length({low})', rounded)} AS e15_emoji_ratio"]
     return cols
 
 

@@ -32,11 +32,12 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
     return best if counts[best] > 0 else ","
 
 
-def read_labeled(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+def read_labeled(spark: SparkSession, path: str, sep: str | None = None, multiline: bool = False) -> DataFrame:
     """S1 strict loader: first two columns by position -> (text, label),
-    header skipped, validated (P1); delimiter sniffed when not given."""
+    header skipped, validated (P1); delimiter sniffed when not given.
+    ``multiline`` for quoted newlines: each file is then one task."""
     sep = sep or sniff_delimiter(spark, path)
-    raw = (spark.read.option("header", True).option("sep", sep).option("multiLine", True)
+    raw = (spark.read.option("header", True).option("sep", sep).option("multiLine", multiline)
            .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
     if len(raw.columns) < 2:
         return spark.createDataFrame([], TEXT_LABEL)
@@ -44,9 +45,9 @@ def read_labeled(spark: SparkSession, path: str, sep: str | None = None) -> Data
     return ds.validate(two)
 
 
-def read_dataset(spark: SparkSession, path: str, schema: str = TEXT_LABEL) -> DataFrame:
-    """S2 plain CSV with header and quoted multi-line fields."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
+def read_dataset(spark: SparkSession, path: str, schema: str = TEXT_LABEL, multiline: bool = False) -> DataFrame:
+    """S2 plain CSV with header; ``multiline`` for quoted newlines (a task a file)."""
+    return (spark.read.schema(schema).option("header", True).option("multiLine", multiline)
             .option("escape", '"').csv(path))
 
 
@@ -55,11 +56,11 @@ def read_processed(spark: SparkSession, path: str, language: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("lang") == language)
 
 
-def read_manual(spark: SparkSession, path: str) -> DataFrame:
+def read_manual(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """S4 manual labels; a missing folder gives an empty (text, label)."""
     if not _exists(spark, path):
         return spark.createDataFrame([], TEXT_LABEL)
-    return read_dataset(spark, path)
+    return read_dataset(spark, path, multiline=multiline)
 
 
 def collect_manual(df: DataFrame, quotas: dict, key: str = "row_id") -> DataFrame:
@@ -112,11 +113,11 @@ def post_texts(df: DataFrame, json_col: str, key: str) -> DataFrame:
     return df.select(key, F.posexplode(arr).alias("pos", "text"))
 
 
-def union_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+def union_files(spark: SparkSession, paths: list[str], multiline: bool = False) -> DataFrame:
     """CSVs unioned by column name, missing columns null."""
     out = None
     for p in paths:
-        d = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(p)
+        d = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').csv(p)
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out
 

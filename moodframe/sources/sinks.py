@@ -24,6 +24,12 @@ def write_ingest(df: DataFrame, path: str, source: str, ingest_ts: str) -> bool:
     return True
 
 
+def write_ingests(df: DataFrame, path: str, ingest_ts: str, source: str = "source") -> None:
+    """K2 for many sources in one job: rows land under their own source=."""
+    (df.withColumnRenamed(source, "source").withColumn("ingest_ts", F.lit(ingest_ts))
+       .write.mode("append").partitionBy("source", "ingest_ts").parquet(path))
+
+
 def append_labelled(df: DataFrame, path: str) -> None:
     """K3: append to an existing labelled set."""
     df.write.mode("append").parquet(path)

@@ -65,19 +65,19 @@ def rolling_last_n(req: DataFrame, n: int = 100, key: str = "client", value: str
     return out.filter("_own").drop("_idx", "_blk", "_own")
 
 
-def trailing_rate(req: DataFrame, seconds: int, key: str = "client", id_col: str = "event_id") -> DataFrame:
+def trailing_rate(req: DataFrame, seconds: int, key: str = "client", id_col: str = "event_id", per_bucket: int = 4) -> DataFrame:
     """Per event, the client's events in the trailing ``seconds`` / seconds.
 
     Exact without a client-wide window: time is cut into buckets of
-    ``seconds``; every row is also copied into the next bucket as a halo, so
-    each (client, bucket) partition holds everything its own rows' windows
-    can reach; only the bucket's own rows are kept. A hot client is spread
-    over its buckets."""
-    t = epoch_seconds("ts")
-    b = F.floor(t / seconds).cast("long")
-    base = req.withColumn("_t", t).withColumn("_b", b)
+    ``per_bucket`` windows; the rows of a bucket's last ``seconds`` are copied
+    into the next one as a halo, so each (client, bucket) partition holds all
+    that its own rows' windows can reach; only the bucket's own rows are kept. A
+    hot client is spread over its buckets."""
+    t, width = epoch_seconds("ts"), per_bucket * seconds
+    base = req.withColumn("_t", t).withColumn("_b", F.floor(t / width).cast("long"))
+    edge = base.where(F.col("_t") >= (F.col("_b") + 1) * width - seconds)
     halo = base.withColumn("_own", F.lit(True)).unionByName(
-        base.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False)))
+        edge.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False)))
     w = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(-seconds, 0)
     out = halo.withColumn("rate", F.count(F.lit(1)).over(w) / F.lit(float(seconds)))
     return out.filter("_own").drop("_t", "_b", "_own")
@@ -123,8 +123,16 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
     return left.join(named, cond).drop(*[f"_r_{k}" for k in keys])
 
 
+def bucket_width(df: DataFrame, key: str, ts: str, most: int = 1_000_000) -> float:
+    """Seconds of a time bucket: a day, or as much less as keeps the fullest
+    (key, day) at about ``most`` rows a bucket."""
+    days = df.groupBy(key, F.floor(epoch_seconds(ts) / 86400).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    fullest = days.agg(F.max("_n")).first()[0] or 0
+    return 86400.0 if fullest <= most else max(0.001, 86400.0 * most / fullest)
+
+
 def two_level_prefix(df: DataFrame, key: str, ts: str, tiebreak: str, carry: list[str], flag_fn,
-                     out: str, start: int = 0, bucket_seconds: int = 86400) -> DataFrame:
+                     out: str, start: int = 0, bucket_seconds: float | None = None) -> DataFrame:
     """Running count per key of rows where ``flag_fn(prev, cur)`` holds,
     ``prev`` being the key's previous row (by ts, tiebreak) — computed
     without a key-wide window:
@@ -135,7 +143,9 @@ def two_level_prefix(df: DataFrame, key: str, ts: str, tiebreak: str, carry: lis
        table;
     2. flags are summed inside the bucket, and each bucket's offset is a
        cumulative sum over the small table.
-    ``carry`` are the columns ``flag_fn`` reads from ``prev``/``cur``."""
+    ``carry`` are the columns ``flag_fn`` reads from ``prev``/``cur``. Without
+    ``bucket_seconds`` the width follows from the fullest day of a key."""
+    bucket_seconds = bucket_seconds or bucket_width(df, key, ts)
     d = df.withColumn("_bk", F.floor(epoch_seconds(ts) / bucket_seconds).cast("long"))
     wi = Window.partitionBy(key, "_bk").orderBy(ts, tiebreak)
     lasts = d.groupBy(key, "_bk").agg(F.max_by(F.struct(*carry), F.struct(ts, tiebreak)).alias("_last"))
@@ -153,14 +163,14 @@ def two_level_prefix(df: DataFrame, key: str, ts: str, tiebreak: str, carry: lis
 
 
 def status_segments(df: DataFrame, key: str, ts: str, tiebreak: str, available: str,
-                    bucket_seconds: int = 86400) -> DataFrame:
+                    bucket_seconds: float | None = None) -> DataFrame:
     """A new segment starts at every available -> unavailable change."""
     flag = lambda p, c: F.coalesce(p[available], F.lit(False)) & ~c[available]
     return two_level_prefix(df, key, ts, tiebreak, [available], flag, "segment", 0, bucket_seconds)
 
 
 def gap_sessions(df: DataFrame, key: str, ts: str, tiebreak: str, gap_seconds: int,
-                 bucket_seconds: int = 86400) -> DataFrame:
+                 bucket_seconds: float | None = None) -> DataFrame:
     """Session number per key (from 1): a gap >= ``gap_seconds`` since the
     previous event starts a new session (unlike session_window, which merges
     an event exactly ``gap`` later)."""

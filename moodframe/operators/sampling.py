@@ -52,7 +52,7 @@ def class_ranked(df: DataFrame, label_col: str, key_col: str, seed=42, salt="",
     # The offset table has (classes x 16^p) rows; broadcast it only when that
     # bound is small, else it takes the shuffle path.
     n_classes = counts.count()
-    small = n_classes * (16 ** p) <= 4_000_000
+    small = n_classes * (16 ** p) <= 100_000     # rows of a few dozen bytes
     ranked = (join_null_safe(h, F.broadcast(offsets) if small else offsets, [label_col, "_b"])
                 .withColumn("_rank", F.col("_off") + F.row_number().over(inner)))
     return ranked.drop("_b", "_off")

@@ -75,3 +75,14 @@ def test_cache_batch_run_twice(spark, tmp_path):
     assert got == [(1, 1), (2, 1), (3, 1), (4, 1), (5, None)]
     assert sorted(r.text or "" for r in ss.read_sink(spark, cache, "_th long, text string, score int").collect()) == ["", "a", "b", "c"]
     assert ss.read_sink(spark, f"file://{tmp_path}/none", "i long").count() == 0
+
+
+def test_results_dont_depend_on_bucket_widths(spark):
+    e = events(spark)
+    def segments(width):
+        return sorted(map(tuple, mo.status_segments(e, "client", "ts", "event_id", "available", width).select("event_id", "segment").collect()))
+    def rates(n):
+        return sorted(map(tuple, mo.trailing_rate(e, 7200, per_bucket=n).select("event_id", "rate").collect()))
+    assert segments(None) == segments(90.0) == segments(0.5)
+    assert rates(1) == rates(4) == rates(1000)
+    assert mo.bucket_width(e, "client", "ts") == 86400 and mo.bucket_width(e, "client", "ts", 2) == 43200

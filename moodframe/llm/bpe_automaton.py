@@ -39,7 +39,7 @@ NEWER = ("558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A
          "16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 "
          "1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED "
          "1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F")
-WORDS_KEPT = 500_000        # words a worker remembers before it starts anew
+WORDS_KEPT = 400_000        # words, and stretches between spaces, that a worker remembers before it starts anew
 STEPS_KEPT = 1_000_000      # transitions a worker keeps computed
 LONG_TEXT = 4_000_000       # texts from this length are split lazily
 
@@ -185,7 +185,8 @@ class Tokenizer:
         longest_first = sorted(self.added, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.added else None
         self.bytes_of = {str(i): b for i, b in self.automaton.label.items()} | {str(i): t.encode() for t, i in self.added.items()}
-        self.seen: dict[str, str] = {}
+        self.seen: dict[str, str] = {}          # words
+        self.after_space: dict[str, str] = {}   # what stands between two spaces
 
     def _word(self, word: str) -> str:
         if len(self.seen) >= WORDS_KEPT:
@@ -198,6 +199,31 @@ class Tokenizer:
     def _ids(self, words: list[str]) -> list[str]:
         return [self.seen.get(w) or self._word(w) for w in words]
 
+    def _spaced(self, piece: str) -> list[str] | None:
+        """The ids of a piece, cut before spaces. A space before a character that
+        isn't white space always starts a pre-split word, so what follows it up to
+        the next such space is split and encoded on its own, once per distinct
+        string. None where a space has another neighbour."""
+        head, *rest = piece.split(" ")
+        got = list(map(self.after_space.get, rest))
+        for i in [i for i, g in enumerate(got) if g is None] if None in got else []:
+            w = rest[i]
+            if not w or w[0].isspace() or (not w.isascii() and self.newer.search(w)):
+                return None
+            ids = self.after_space.get(w)
+            if ids is None:
+                ids = ",".join(self._ids(self.words.findall(" " + w)))
+                if len(self.after_space) >= WORDS_KEPT:
+                    self.after_space.clear()
+                if len(w) <= 64:
+                    self.after_space[w] = ids
+            got[i] = ids
+        if not head:
+            return got
+        if not head.isascii() and self.newer.search(head):
+            return None
+        return [*self._ids(self.words.findall(head)), *got]
+
     def parts(self, text: str) -> Iterator[str]:
         """Comma-joined decimal ids, a bounded piece of the text at a time."""
         for piece in self.split.split(text) if self.split else [text]:
@@ -207,14 +233,9 @@ class Tokenizer:
             if not piece:
                 continue
             if len(piece) < LONG_TEXT:
-                words = self.words.findall(piece)
-                got = list(map(self.seen.get, words))
-                new = [i for i, g in enumerate(got) if g is None] if None in got else []
-                if any(not words[i].isascii() and self.newer.search(words[i]) for i in new):
-                    got = self._ids(self.exact_words.findall(piece))
-                else:
-                    for i in new:
-                        got[i] = self._word(words[i])
+                got = self._spaced(piece)
+                if got is None:
+                    got = self._ids((self.exact_words if self.newer.search(piece) else self.words).findall(piece))
                 yield ",".join(got)
                 continue
             pattern = self.exact_words if self.newer.search(piece) else self.words

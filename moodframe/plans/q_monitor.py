@@ -236,14 +236,13 @@ FROM ({LOG_SQL})"""
 
 
 @register("s12_log_lines_source", """WITH l AS (""" + LOG_SQL + """)
-SELECT CASE WHEN value LIKE '%ERROR%' THEN 'ERROR' ELSE 'INFO' END AS level, CAST(count(*) AS BIGINT) AS n FROM l GROUP BY 1""")
+SELECT CASE WHEN value LIKE '%ERROR%' THEN 'ERROR' ELSE 'INFO' END AS level, md5(value) AS line_md5 FROM l""")
 def s12_log_lines_source(spark, sf_dir):
     """Lines are written as a text file and read back with spark.read.text."""
     path = scratch_path(spark, "logs")
     _log_lines(spark, sf_dir).select("value").write.mode("overwrite").text(path)
     lines = spark.read.text(path)
-    return lines.groupBy(F.when(F.col("value").contains("ERROR"), "ERROR").otherwise("INFO").alias("level")).agg(
-        F.count(F.lit(1)).alias("n"))
+    return lines.select(F.when(F.col("value").contains("ERROR"), "ERROR").otherwise("INFO").alias("level"), F.md5("value").alias("line_md5"))
 
 
 @register("p13_log_filters", f"""WITH p AS ({PARSED_SQL})

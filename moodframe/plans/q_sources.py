@@ -58,12 +58,17 @@ def s5_manual_import_quotas(spark, sf_dir):
     return rd.collect_manual(d, {0: 30, 1: 30, 2: 30}).select("row_id", "sentiment")
 
 
+S6_QUOTAS = {0: 40, 1: 25, 2: 10_000}
+
+
 @register("s6_app_reviews", """
-SELECT doc_id AS row_id, CAST(CASE WHEN 1 + doc_id % 5 > 3 THEN 2 WHEN 1 + doc_id % 5 < 3 THEN 0 ELSE 1 END AS INTEGER) AS sentiment FROM documents""")
+WITH r AS (SELECT doc_id, text, CAST(CASE WHEN 1 + doc_id % 5 > 3 THEN 2 WHEN 1 + doc_id % 5 < 3 THEN 0 ELSE 1 END AS INTEGER) AS s FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5(concat_ws(':', CAST(doc_id AS VARCHAR), '42', 'quota')), doc_id) AS rn FROM r)
+SELECT doc_id AS row_id, s AS sentiment, md5(text) AS text_md5 FROM k WHERE rn <= CASE s WHEN 0 THEN 40 WHEN 1 THEN 25 ELSE 10000 END""")
 def s6_app_reviews(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("content"),
                                                  (1 + F.col("doc_id") % 5).cast("int").alias("score"))
-    return rd.reviews_to_rows(d).select("row_id", "sentiment")
+    return rd.reviews_to_rows(d, S6_QUOTAS).select("row_id", "sentiment", F.md5("text").alias("text_md5"))
 
 
 def _market_json(spark, sf_dir):
@@ -167,14 +172,14 @@ def s14_html_comments(spark, sf_dir):
     return c.select("page_id", "pos", F.md5("author").alias("author_md5"), F.md5("text").alias("text_md5"))
 
 
-@register("k1_k3_write_and_append", f"""WITH d AS ({LABELLED_DOCS})
-SELECT label, CAST(count(*) * 2 AS BIGINT) AS n FROM d GROUP BY label""")
+@register("k1_k3_write_and_append", f"""WITH d AS ({LABELLED_DOCS}) SELECT doc_id, label, md5(text) AS text_md5, CAST(2 AS BIGINT) AS n FROM d""")
 def k1_k3_write_and_append(spark, sf_dir):
-    d = ds.labelled_documents(spark, sf_dir).select("doc_id", "label")
+    d = ds.labelled_documents(spark, sf_dir).select("doc_id", "label", "text")
     path = scratch_path(spark, "k1")
     sk.write_dataset(d, path)
     sk.append_labelled(d, path)
-    return spark.read.parquet(path).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    back = spark.read.parquet(path).select("doc_id", "label", F.md5("text").alias("text_md5"))
+    return back.groupBy("doc_id", "label", "text_md5").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("k2_ingest_sink", """SELECT source, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY source""")
@@ -195,9 +200,9 @@ def k7_report_metric_rows(spark, sf_dir):
     return sk.metric_rows(m)
 
 
-@register("k8_export_log_lines", """SELECT CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type = 'error'""")
+@register("k8_export_log_lines", """SELECT CAST(event_id AS VARCHAR) || ' - ' || event_type AS line FROM events WHERE event_type = 'error'""")
 def k8_export_log_lines(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
     path = scratch_path(spark, "k8")
     sk.write_lines(e.select(F.concat_ws(" - ", F.col("event_id").cast("string"), "event_type").alias("line")), "line", path)
-    return spark.read.text(path).agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.text(path).select(F.col("value").alias("line"))

@@ -219,7 +219,8 @@ def scan(text: bytes, automaton: AhoCorasick):
             if i in want:
                 ends.append(m.end())
         for e in ends:
-            line = text[e:].split(b"\n", 1)[0] if len(text) - e < 4096 else text[e:text.find(b"\n", e) if text.find(b"\n", e) >= 0 else len(text)]
+            stop = text.find(b"\n", e)
+            line = text[e:stop if stop >= 0 else len(text)]
             expression = line.decode("utf-8", "replace").lstrip(" \t:=\"'")
             got = evaluate(expression)
             if got:

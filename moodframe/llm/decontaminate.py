@@ -36,6 +36,7 @@ from .common import WORD_TABLE, by_bytes, texts_of, written
 
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 3 << 20
+HASHED_WORDS = 100_000
 _LUT = np.frombuffer(bytes(0 if b == 0x20 else b for b in WORD_TABLE), dtype=np.uint8)
 
 
@@ -59,14 +60,17 @@ class Words:
         self.owner = np.searchsorted(begin, self.start, side="right") - 1
         self.per_text = np.bincount(self.owner, minlength=self.n_texts)[:self.n_texts]
         self.hash = np.zeros(len(self.start), dtype=np.uint64)
-        if len(self.start):
-            first = np.cumsum(self.length) - self.length
-            chars = self.raw[inside]
-            at = np.arange(len(chars), dtype=np.int32) - np.repeat(first.astype(np.int32), self.length)
+        for i in range(0, len(self.start), HASHED_WORDS):       # bounded, whatever the text's length
+            j = min(i + HASHED_WORDS, len(self.start))
+            length = self.length[i:j]
+            chars = self.raw[self.start[i]:end[j - 1]]
+            chars = chars[chars != 0]
+            first = np.cumsum(length) - length
+            at = np.arange(len(chars), dtype=np.int32) - np.repeat(first.astype(np.int32), length)
             value = hash_table(seed)[(at & 63) * 256 + chars]
-            if len(at) and at.max() >= 64:
+            if at.max() >= 64:
                 value = value * ((at >> 6).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-            self.hash = np.add.reduceat(value, first) ^ self.length.astype(np.uint64)
+            self.hash[i:j] = np.add.reduceat(value, first) ^ length.astype(np.uint64)
         #: place of each word in the code sequence, where a 0 ends each text
         self.slot = np.arange(len(self.start)) + self.owner
 

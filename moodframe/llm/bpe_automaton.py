@@ -39,8 +39,8 @@ NEWER = ("558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A
          "16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 "
          "1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED "
          "1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F")
-WORDS_KEPT = 400_000        # words, and stretches between spaces, that a worker remembers before it starts anew
-STEPS_KEPT = 1_000_000      # transitions a worker keeps computed
+WORDS_KEPT = 300_000        # words, and stretches between spaces, that a worker remembers before it starts anew
+STEPS_KEPT = 300_000      # transitions a worker keeps computed
 LONG_TEXT = 4_000_000       # texts from this length are split lazily
 
 

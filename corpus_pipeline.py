@@ -14,8 +14,9 @@ from moodframe.sources.tables import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules (operator 4): rejected documents go."""
-    return quality_rules.good_documents(docs)
+    """Quality rules (operator 4): rejected documents go, and lines above the
+    limit leave the other texts."""
+    return quality_rules.cleaned_documents(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ Every line is normalised (lower case, white space collapsed, digit runs as 0)
 and hashed; per host the documents that hold a line are counted, exact copies
 of a text as one document. A line held by more than ``share`` of its host's
 documents, and by at least ``min_docs``, is boilerplate. A document is depleted
-if its other lines hold too few words. Repeated 8-word windows, symbols and
+if its other lines hold too few words; of the others, such lines are cut out. Repeated 8-word windows, symbols and
 repeated lines within a text are counted next to that.
 
 What is exploded and shuffled are line hashes, never texts; counts are partial
@@ -86,19 +86,10 @@ def _line_features(text: Column) -> Column:
     return bind(lines_of(text), of_lines)
 
 
-def quality(docs: DataFrame, host: str = "source", share: float = 0.05, min_docs: int = 25,
+def _judged(docs: DataFrame, host: str = "source", share: float = 0.05, min_docs: int = 25,
             min_left: int = 20, min_left_share: float = 0.3) -> DataFrame:
-    """doc_id, text_hash, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, n_removed_words (in lines above the limit), base_failed,
-    kept; one row per row of ``docs``.
-
-    ``base_failed``: under 20 words, or over 30 % of the words in 8-word windows
-    that come twice or more. ``kept``: not base_failed, and outside lines above
-    the limit there are ``min_left`` words and ``min_left_share`` of all words.
-    A null text has no words; a null host counts as the host ''; rows that
-    repeat doc_id and text get the same verdict and count as one document; an
-    empty table gives none.
-    """
+    """What ``quality`` gives, and ``removed``: the places of lines above the
+    limit among the lines that hold a word (null if there are none)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
     base = slim.select(
@@ -112,19 +103,58 @@ def quality(docs: DataFrame, host: str = "source", share: float = 0.05, min_docs
     over = held.join(hosts, "host").where(F.col("held") > share * F.col("docs")).select("host", "line")
     # repeated rows bring each of their lines once
     once = lines.join(over, ["host", "line"]).groupBy("doc_id", "host", "text_hash", "at").agg(F.max("words").alias("words"))
-    removed = once.groupBy(F.col("doc_id").alias("d"), F.col("host").alias("h"), F.col("text_hash").alias("t")).agg(F.sum("words").alias("gone"))
+    removed = once.groupBy(F.col("doc_id").alias("d"), F.col("host").alias("h"), F.col("text_hash").alias("t")).agg(F.sum("words").alias("gone"), F.collect_list("at").alias("removed"))
     out = base.join(removed, base["doc_id"].eqNullSafe(removed["d"]) & (base["host"] == removed["h"]) & (base["text_hash"] == removed["t"]), "left")
     n, gone = F.col("w.n_words"), F.coalesce("gone", F.lit(0).cast("long"))
     failed = (n < MIN_WORDS) | (100 * F.col("w.n_repeat_words") > MAX_REPEATED * n)
     kept = ~failed & (n - gone >= min_left) & (n - gone >= min_left_share * n)
     return out.select("doc_id", "host", "text_hash", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words",
-                      gone.alias("n_removed_words"), failed.alias("base_failed"), kept.alias("kept"))
+                      gone.alias("n_removed_words"), failed.alias("base_failed"), kept.alias("kept"), "removed")
+
+
+def quality(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
+    """doc_id, text_hash, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, n_removed_words (in lines above the limit), base_failed,
+    kept; one row per row of ``docs``.
+
+    ``base_failed``: under 20 words, or over 30 % of the words in 8-word windows
+    that come twice or more. ``kept``: not base_failed, and outside lines above
+    the limit there are ``min_left`` words and ``min_left_share`` of all words.
+    A null text has no words; a null host counts as the host ''; rows that
+    repeat doc_id and text get the same verdict and count as one document; an
+    empty table gives none.
+    """
+    return _judged(docs, host, **limits).drop("removed")
+
+
+def _cut(text: Column, removed: Column) -> Column:
+    """``text`` without the lines at the places ``removed`` among those that hold a word."""
+    def of(x: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(x) - 1)
+        gone = bind(F.filter(at, lambda i: F.get(x, i).rlike(NOT_SPACE)), lambda held: F.transform(removed, lambda k: F.get(held, k)))
+        return F.array_join(F.transform(F.array_except(at, gone), lambda i: F.get(x, i)), "\n")
+    return bind(F.split(text, "\n", -1), of)
+
+
+def _verdicts(docs: DataFrame, verdict: DataFrame, host: str) -> tuple[DataFrame, Column]:
+    """One row for each document of ``verdict``, and the condition that joins it to ``docs``."""
+    one = verdict.select(F.col("doc_id").alias("_d"), F.col("host").alias("_h"), F.col("text_hash").alias("_t"), F.col("kept").alias("_kept"), F.col("removed").alias("_removed")).dropDuplicates(["_d", "_h", "_t"])
+    key = (docs["doc_id"].cast("long").eqNullSafe(one["_d"]) & (F.coalesce(docs[host].cast("string"), F.lit("")) == one["_h"])
+           & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == one["_t"]))
+    return one, key
 
 
 def good_documents(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """``docs`` without the rejected rows; columns as they were."""
-    verdict = quality(docs, host, **limits)
-    bad = verdict.where("not kept").select(F.col("doc_id").alias("_d"), F.col("host").alias("_h"), F.col("text_hash").alias("_t")).distinct()
-    key = (docs["doc_id"].cast("long").eqNullSafe(bad["_d"]) & (F.coalesce(docs[host].cast("string"), F.lit("")) == bad["_h"])
-           & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == bad["_t"]))
+    bad, key = _verdicts(docs, _judged(docs, host, **limits).where("not kept"), host)
     return docs.join(bad, key, "left_anti")
+
+
+def cleaned_documents(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
+    """``docs`` without the rejected rows, and without the lines above the limit
+    in the texts of the others; other columns, and texts without such lines, as
+    they were."""
+    found, key = _verdicts(docs, _judged(docs, host, **limits).where("not kept or n_removed_words > 0"), host)
+    out = docs.join(found, key, "left").where(F.coalesce("_kept", F.lit(True)))
+    text = F.when(F.col("_removed").isNull(), docs["text"]).otherwise(_cut(docs["text"].cast("string"), F.col("_removed")))
+    return out.select(*((text if c == "text" else docs[f"`{c}`"]).alias(c) for c in docs.columns))

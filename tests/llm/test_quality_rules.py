@@ -57,3 +57,19 @@ def test_line_frequency_per_host(spark):
     assert kept.columns == df.columns
     assert sorted(x.doc_id for x in kept.where("doc_id is not null").collect()) == [*range(100, 105), *range(200, 224), *range(300, 340)]
     assert op.quality(df.limit(0)).count() == 0 and op.good_documents(df.limit(0)).count() == 0
+
+
+def test_lines_above_the_limit_are_cut(spark):
+    foot = "Share 2024 this PAGE with all your friends and read more of it"
+    own = ["\n".join(" ".join(f"w{chr(97 + k)}{chr(97 + j)}{chr(97 + i)}" for j in range(11)) for k in range(3)) for i in range(26)]
+    rows = [(i, f" \n{foot} {i}\n{x}\n\n{foot.upper()} 5\n", "a", 7) for i, x in enumerate(own)]
+    rows += [rows[0], (None, rows[1][1], "a", 8), (200, f"{own[3]}\n{foot}", None, 9), (201, f"{foot}\nshort", "a", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int").repartition(3)
+    got = op.cleaned_documents(df)
+    assert got.columns == df.columns
+    want = [(i, f" \n{x}\n\n", "a", 7) for i, x in enumerate(own)]
+    want += [want[0], (None, want[1][1], "a", 8), rows[-2]]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert op.cleaned_documents(df.limit(0)).count() == 0
+    import corpus_pipeline
+    assert sorted(map(str, map(tuple, corpus_pipeline.quality(spark, df, "").collect()))) == sorted(map(str, want))

@@ -224,17 +224,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, seed:
 
 def one_per_group(docs: DataFrame, shingle: int = 4, max_bits: int = 4, seed: int = 42) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (of
-    several rows with this doc_id, one). Of a component without any doc_id one
-    row stays. Columns as they were."""
+    several rows with this doc_id in the component, the one whose text has the
+    smallest hash). Of a component without any doc_id one row stays, by the same
+    rule. Columns as they were."""
     prints, classes = _classes(docs, shingle, max_bits, seed)
     classes = written(classes, "simhash-classes")
     first = classes.select(F.col("component_id").alias("first")).where("first is not null").distinct()
     kept = docs.join(first, docs["doc_id"].cast("long") == first["first"], "left_semi")
-    # rows that share a doc_id: only these are dealt by it
+    # rows that share a doc_id may lie in several components: only these are dealt by fingerprint
     twice = written(prints.where("doc_id is not null").groupBy(F.col("doc_id").alias("twice")).count().where("count > 1").select("twice"), "simhash-twice")
     once = kept.join(twice, kept["doc_id"].cast("long") == twice["twice"], "left_anti")
-    again = kept.join(twice, kept["doc_id"].cast("long") == twice["twice"], "left_semi").dropDuplicates(["doc_id"])
+    again = kept.join(twice, kept["doc_id"].cast("long") == twice["twice"], "left_semi").unionByName(docs.where("doc_id is null"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    nameless = fingerprints(docs.where("doc_id is null").select(row, F.col("text").cast("string").alias("text")), shingle, seed)
-    nameless = nameless.join(classes.where("component_id is null"), "fingerprint").dropDuplicates(["root"]).select("row.*")
-    return once.unionByName(again).unionByName(nameless)
+    again = fingerprints(again.select(row, F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), shingle, seed)
+    again = again.join(classes, "fingerprint").where(F.col("component_id").eqNullSafe(F.col("id")))
+    order = F.struct(F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))), F.xxhash64(F.to_json("row")))
+    again = again.groupBy("root").agg(F.min_by("row", order).alias("row")).select("row.*")
+    return once.unionByName(again)

@@ -75,3 +75,14 @@ def test_components_of_a_long_path_and_a_star(spark):
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_row_per_component_where_ids_repeat(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta", 1), (1, "one two three four five six seven", 2), (1, "one two three four five six seven", 3),
+            (2, "red green blue cyan magenta yellow", 4), (4, "red green blue cyan magenta yellow", 5), (4, "north south east west up down", 6)]
+    got = []
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(parts)
+        got.append(sorted((r.doc_id, r.text) for r in op.one_per_group(df).collect()))
+        assert sorted(r.n for r in op.one_per_group(df).collect()) in ([1, 2, 4, 6], [1, 3, 4, 6])
+    assert got[0] == got[1] == sorted({(r[0], r[1]) for r in rows} - {(4, rows[4][1])})

@@ -78,6 +78,19 @@ e AS (SELECT d.doc_id, h, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0
 SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
   sha256(unhex(array_to_string(list_transform(list_zip(starts, ends), lambda q: substr(h, CAST(2 * q[1] + 1 AS BIGINT), CAST(2 * (q[2] - q[1]) AS BIGINT))), ''))) AS kept_sha256 FROM e"""
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+RANKED_SEARCH = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '{_TERM}') AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS nn, sum(len(w))::BIGINT AS ll FROM d),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS t FROM benchmark),
+f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY t, nn),
+m AS (SELECT doc_id, r, 50 + ((50 * len(w) * nn) // ll) AS m FROM d, s WHERE len(w) > 0),
+p AS (SELECT item_id, r, sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM b JOIN w USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY item_id, r),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS rank FROM p JOIN m USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50"""
+
 ORACLES = {
     "op1_decontamination": DECONTAMINATION,
     "op3_chat_format": CHAT_FORMAT,
@@ -85,4 +98,5 @@ ORACLES = {
     "op7_warc_chunks": WARC,
     "op8_suffix_family": SUFFIX_FAMILY,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op13_ranked_search": RANKED_SEARCH,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe_automaton, chat_format, decontaminate, license_scan, line_dedup, quality_rules, secret_scan, simhash_ball, suffix_family, warc
+from . import bpe_automaton, chat_format, cross_polytope, decontaminate, license_scan, line_dedup, norm_buckets, quality_rules, secret_scan, simhash_ball, spelling, suffix_family, warc
 from .oracles import ORACLES  # noqa: F401
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -62,6 +62,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_buckets.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -73,4 +85,7 @@ QUERIES = {
     "op8_suffix_family": op8_suffix_family,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_ranked_search": op13_ranked_search,
 }

@@ -4,10 +4,16 @@ The training text is cut into shards of whole documents. A task turns a shard
 into word codes (a word the benchmark lacks is 0 and matches nothing), builds
 the shard's suffix array over word positions, and binary-searches every suffix
 of every benchmark item in it, word by word: the range of training suffixes
-that share the first d words narrows with d until it is empty. The last d is
-the longest verbatim match, the range its places; the range at d = ``window``
-holds all places of that window, whose words are marked as hit. Documents never
-cross shards, so nothing is shuffled.
+that share the first d words narrows with d. The range at d = ``window`` holds
+all places of that window, whose words are marked as hit. Documents never cross
+shards, so nothing is shuffled.
+
+How far matches go on is asked once per place and not per pair of place and
+suffix: the marked words and the items found among them get order-preserving
+ranks of their next 1, 2, 4, ... words, and each place narrows its range in the
+items' suffix array by the largest power that still fits, so a match of n words
+takes log n steps. Work and memory are those of a sort of the shard, whatever
+repeats in it.
 
 The suffix array holds the positions from which at least as many known words
 follow as the shortest window has; no other position can hold a window.
@@ -37,6 +43,7 @@ from .common import WORD_TABLE, by_bytes, texts_of, written
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 3 << 20
 HASHED_WORDS = 100_000
+PAIRS = 1 << 20          # (text, item) pairs held at once before repeats go
 _LUT = np.frombuffer(bytes(0 if b == 0x20 else b for b in WORD_TABLE), dtype=np.uint8)
 
 
@@ -101,7 +108,6 @@ class Block:
         size = np.minimum(window, n)
         self.window = np.where(place <= n - size, size, 0)   # 0: no window starts here
         self.shortest = int(size.min()) if len(size) else 0
-        self.longest = int(n.max()) if len(n) else 0
 
 
 def suffix_array(codes: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
@@ -142,37 +148,70 @@ def suffix_array(codes: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
 def _edge(codes, sa, lo, hi, depth, code, right):
     """In each [lo, hi), the first place whose code at ``depth`` isn't below
     (``right``: is above) ``code``."""
-    lo, hi = lo.copy(), hi.copy()
+    lo, hi, depth = lo.copy(), hi.copy(), np.broadcast_to(depth, lo.shape)
     while len(open_ := np.flatnonzero(lo < hi)):
         mid = (lo[open_] + hi[open_]) >> 1
-        there = codes[sa[mid] + depth]
+        there = codes[sa[mid] + depth[open_]]
         below = there <= code[open_] if right else there < code[open_]
         lo[open_] = np.where(below, mid + 1, lo[open_])
         hi[open_] = np.where(below, hi[open_], mid)
     return lo
 
 
-def search(codes: np.ndarray, sa: np.ndarray, block: Block):
-    """Per benchmark suffix: the range of training suffixes that begin with
-    its window, the length of its longest match and the range of its places."""
+def search(codes: np.ndarray, sa: np.ndarray, block: Block) -> np.ndarray:
+    """Per benchmark suffix that starts a window: the range of training suffixes
+    that begin with it."""
     n = len(block.at)
     lo, hi = np.zeros(n, dtype=np.int64), np.full(n, len(sa), dtype=np.int64)
     at_window = np.zeros((2, n), dtype=np.int64)
-    longest = np.zeros(n, dtype=np.int64)
-    live, depth = np.arange(n), 0
+    live, depth = np.flatnonzero(block.window), 0
     while len(live):
         code = block.codes[block.at[live] + depth]
-        live, code = live[code != 0], code[code != 0]
         a = _edge(codes, sa, lo[live], hi[live], depth, code, False)
         b = _edge(codes, sa, a, hi[live], depth, code, True)
         found = a < b
         live, a, b = live[found], a[found], b[found]
         lo[live], hi[live] = a, b
         depth += 1
-        longest[live] = depth
         full = block.window[live] == depth
         at_window[0, live[full]], at_window[1, live[full]] = a[full], b[full]
-    return at_window, longest, np.stack([lo, hi])
+        live = live[~full]
+    return at_window
+
+
+def _ranks(codes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For 1, 2, 4, ... codes the ranks of what follows each position, cut at a
+    0 (rank 0: a 0 stands there), and how many codes come before the next 0."""
+    zero = np.flatnonzero(codes == 0)
+    known = zero[np.searchsorted(zero, np.arange(len(codes)))] - np.arange(len(codes))
+    ranks, step = [np.unique(codes, return_inverse=True)[1]], 1
+    while step < known.max(initial=0):
+        after = np.where(known > step, ranks[-1][np.minimum(np.arange(len(codes)) + step, len(codes) - 1)], 0)
+        ranks.append(np.unique(ranks[-1] * np.int64(len(codes) + 1) + after, return_inverse=True)[1])
+        step *= 2
+    return ranks, known
+
+
+def longest(text: np.ndarray, place: np.ndarray, items: np.ndarray, suffix: np.ndarray):
+    """For each place of ``text``: the most codes from there that some suffix of
+    ``items`` begins with, and the range of such suffixes in the returned order.
+    Both sequences have a 0 behind each part."""
+    codes = np.concatenate([text, np.zeros(1, dtype=np.int64), items, np.zeros(1, dtype=np.int64)])
+    ranks, known = _ranks(codes)
+    at = suffix + len(text) + 1
+    order = np.argsort(ranks[-1][at], kind="stable")
+    sa = at[order]
+    lo, hi, depth = np.zeros(len(place), dtype=np.int64), np.full(len(place), len(sa), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        live = np.flatnonzero(known[place + depth] >= 1 << k)
+        key = ranks[k][place[live] + depth[live]]
+        a = _edge(ranks[k], sa, lo[live], hi[live], depth[live], key, False)
+        b = _edge(ranks[k], sa, a, hi[live], depth[live], key, True)
+        on = a < b
+        live = live[on]
+        lo[live], hi[live] = a[on], b[on]
+        depth[live] += 1 << k
+    return depth, lo, hi, order
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -201,13 +240,14 @@ def scan(texts: list[bytes], block: Block):
         # positions followed by enough known words
         stop = np.flatnonzero(codes == 0)
         known = stop[np.searchsorted(stop, words.slot)] - words.slot
-        sa = suffix_array(codes, words.slot[known >= block.shortest], block.longest)
-        at_window, _, _ = search(codes, sa, block)
+        sa = suffix_array(codes, words.slot[known >= block.shortest], int(block.window.max()))
+        at_window = search(codes, sa, block)
         got = np.flatnonzero(at_window[1] > at_window[0])
         if not len(got):
             break
         lo, hi, size = at_window[0, got], at_window[1, got], block.window[got]
-        _, one = np.unique(np.stack([lo, hi, size]), axis=1, return_index=True)
+        _, one, which = np.unique(np.stack([lo, hi, size]), axis=1, return_index=True, return_inverse=True)
+        which = which.ravel()                    # of each suffix, its window among the distinct ones
         slot = sa[_ranges(lo[one], hi[one])]
         length = np.repeat(size[one], hi[one] - lo[one])
         word = np.searchsorted(words.slot, slot)
@@ -219,27 +259,62 @@ def scan(texts: list[bytes], block: Block):
         if len(wrong):                           # same hash, other word
             code[wrong] = 0
             continue
-        owner = words.owner[np.searchsorted(words.slot, sa[_ranges(lo, hi)])]
-        pair = np.unique(owner * len(block.items) + np.repeat(block.item[got], hi - lo))
+        # items and texts of each distinct window, put together in bounded parts
+        of, owner = np.repeat(np.arange(len(one)), hi[one] - lo[one]), words.owner[word]
+        held = np.unique(np.stack([of, owner]), axis=1)
+        has = np.unique(np.stack([which, block.item[got]]), axis=1)
+        first_item, past_item = np.searchsorted(has[0], held[0]), np.searchsorted(has[0], held[0], "right")
+        cuts = np.searchsorted(np.cumsum(past_item - first_item), np.arange(0, int((past_item - first_item).sum()) + 1, PAIRS))
+        pair = np.zeros(0, dtype=np.int64)
+        for a, z in zip(cuts, [*cuts[1:], held.shape[1]], strict=True):
+            there = has[1][_ranges(first_item[a:z], past_item[a:z])]
+            pair = np.union1d(pair, np.repeat(held[1][a:z], (past_item - first_item)[a:z]) * len(block.items) + there)
         for p in pair.tolist():
             items[p // len(block.items)].append(p % len(block.items))
-        # how far each occurrence goes on: the longest verbatim match of each document
-        slot, suffix = sa[_ranges(lo, hi)], np.repeat(got, hi - lo)
-        n = block.window[suffix]
-        live = np.arange(len(slot))
-        while len(live):
-            a, b = codes[slot[live] + n[live]], block.codes[block.at[suffix[live]] + n[live]]
-            live = live[(a == b) & (a != 0)]
-            n[live] += 1
-        word, which = np.searchsorted(words.slot, slot), block.item[suffix]
-        owner = words.owner[word]
-        by = np.lexsort((word, which, -n, owner))
-        lead = by[np.unique(owner[by], return_index=True)[1]]
-        top[owner[lead]], top_item[owner[lead]], top_at[owner[lead]] = n[lead], which[lead], word[lead] - first[owner[lead]]
+        # the longest verbatim match of each text
+        least = np.full(len(one), len(block.items), dtype=np.int64)
+        np.minimum.at(least, which, block.item[got])
+        own, lead = _longest_of(codes, words, marked, word, size[one][of], least[of], np.unique(pair % len(block.items)), block)
+        by = np.lexsort((own, lead[1], -lead[0], words.owner[own]))
+        best = by[np.unique(words.owner[own][by], return_index=True)[1]]
+        text = words.owner[own[best]]
+        top[text], top_item[text], top_at[text] = lead[0][best], lead[1][best], own[best] - first[text]
         return words, marked, items, top, top_item, top_at
     return words, np.zeros(len(words.start), dtype=bool), items, top, top_item, top_at
 
 
+def _longest_of(codes, words: Words, marked, word, size, least, found: np.ndarray, block: Block):
+    """The words where a window starts, and of each the length and the smallest
+    item of the longest match from there; ``word``, ``size`` and ``least``: places,
+    lengths and smallest items of the windows."""
+    by = np.lexsort((least, -size, word))
+    lead = by[np.unique(word[by], return_index=True)[1]]
+    own, length, item = word[lead], size[lead].copy(), least[lead].copy()
+    # marked words and found items in sequences of their own, with a 0 behind each run
+    slot = words.slot[marked]
+    place = np.arange(len(slot)) + np.cumsum(np.concatenate([[0], np.diff(slot) > 1]).astype(np.int64)) if len(slot) else slot
+    text = np.zeros(int(place[-1]) + 2, dtype=np.int64)
+    text[place] = codes[slot]
+    chosen = np.flatnonzero(np.isin(block.item, found))
+    at = np.arange(len(chosen)) + np.searchsorted(found, block.item[chosen])
+    theirs = np.zeros(len(chosen) + len(found) + 1, dtype=np.int64)
+    theirs[at] = block.codes[block.at[chosen]]
+    full = int(block.window.max())
+    depth, lo, hi, order = longest(text, place[np.searchsorted(slot, words.slot[own])], theirs, at)
+    on = np.flatnonzero(depth >= full)           # a shorter match is a window only as a whole item
+    length[on] = np.maximum(length[on], depth[on])
+    # items of the longest of each text alone
+    top = np.zeros(words.n_texts, dtype=np.int64)
+    np.maximum.at(top, words.owner[own], length)
+    on = on[length[on] == top[words.owner[own[on]]]]
+    spans, back = np.unique(np.stack([lo[on], hi[on]]), axis=1, return_inverse=True)
+    rows = block.item[chosen[order]]
+    smallest = np.array([rows[a:z].min() for a, z in spans.T.tolist()], dtype=np.int64)
+    if len(on):
+        item[on] = smallest[back.ravel()]
+    return own, (length, item)
+
+
 def _unlike(words: Words, which: np.ndarray, code: np.ndarray, block: Block) -> np.ndarray:
     """Of the words ``which``, those not spelt like the benchmark word of their code."""
     theirs = block.spelt[code[which] - 1]
@@ -291,7 +366,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str
     A window is ``window`` consecutive words of an item, or the whole of a
     shorter item. Null or wordless texts have no words, items without words no
     window; a null item_id reads "null"; items with one id count once; repeated
-    documents get a row each; an empty benchmark marks nothing; a column of
+    documents get a row each; a text of any length, however repetitive, is one
+    shard's sort of its words (about 100 bytes a word); an empty benchmark marks nothing; a column of
     ``docs`` called ``found`` is replaced.
     """
     keep = [c for c in docs.columns if c != "found"]

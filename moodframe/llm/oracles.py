@@ -15,10 +15,15 @@ ds AS (SELECT doc_id, w, s FROM d, (SELECT DISTINCT s FROM bw) WHERE len(w) >= s
 dw AS (SELECT doc_id, i, s, w[i:i + s - 1] AS k FROM (SELECT *, unnest(range(1, len(w) - s + 2)) AS i FROM ds)),
 m AS (SELECT dw.doc_id, dw.i, dw.s, bw.item_id FROM dw JOIN bw ON dw.s = bw.s AND dw.k = bw.k),
 h AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + s)) AS p FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM m GROUP BY doc_id)
+t AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM m GROUP BY doc_id),
+bp AS (SELECT item_id, j, s, w[j:j + s - 1] AS k FROM (SELECT *, unnest(range(1, len(w) - s + 2)) AS j FROM bs)),
+g AS (SELECT dw.doc_id, i, s, item_id, i - j AS diagonal, i - row_number() OVER (PARTITION BY dw.doc_id, item_id, i - j ORDER BY i) AS run FROM dw JOIN bp USING (s, k)),
+x AS (SELECT doc_id, CAST(item_id AS VARCHAR) AS item, count(*) + s - 1 AS n, min(i) - 1 AS start FROM g GROUP BY doc_id, item_id, s, diagonal, run),
+l AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item, start) = 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
-  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated,
+  CAST(coalesce(l.n, 0) AS BIGINT) AS longest_match, l.item AS longest_item, CAST(l.start AS BIGINT) AS longest_at
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN l USING (doc_id)"""
 
 # a control string with any number of backslashes behind its first character
 _CONTROL = r"<\\*\|im_start\|>|<\\*\|im_end\|>|<\\*\|endoftext\|>|<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|<\\*<SYS>>|<\\*</SYS>>"

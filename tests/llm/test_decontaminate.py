@@ -61,6 +61,40 @@ def test_share_rule_and_kept_rows(spark):
     assert op.decontaminate(d, b.limit(0)).count() == 4 and op.contamination(d.limit(0), b).count() == 0
 
 
+def test_longest_prefixes_against_every_pair():
+    import numpy as np
+    rng = random.Random(5)
+    for _ in range(60):
+        def runs(n):
+            return np.array([c for _ in range(n) for c in [rng.randint(1, 2) for _ in range(rng.randint(1, 12))] + [0]], dtype=np.int64)
+        text, items = runs(rng.randint(1, 6)), runs(rng.randint(1, 6))
+        place, suffix = np.flatnonzero(text), np.flatnonzero(items)
+
+        def common(p, q):
+            n = 0
+            while text[p + n] and text[p + n] == items[q + n]:
+                n += 1
+            return n
+        depth, lo, hi, order = op.longest(text, place, items, suffix)
+        for i, p in enumerate(place):
+            sizes = [common(p, q) for q in suffix]
+            assert depth[i] == max(sizes)
+            if depth[i]:
+                assert sorted(order[lo[i]:hi[i]]) == [k for k, n in enumerate(sizes) if n == depth[i]]
+
+
+def test_repetitive_texts_stay_small_and_long_texts_whole():
+    import tracemalloc
+    block = op.Block([("1", b"ab " * 800), ("2", b"ab cd " * 9), ("3", b"ef gh")], 13)
+    tracemalloc.start()
+    rows = op._rows([b"ab " * 8000, b"xy " + b"ab cd " * 9 + b"ab " * 30, b"zz " * 200_000 + b"ef gh"], block, None)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert rows[0][0] == 8000 and rows[0][1] == [{"first": 0, "past": 8000}] and rows[0][2:] == (["1"], 800, "1", 0)
+    assert rows[1][2:] == (["1", "2"], 30, "1", 19)
+    assert rows[2] == (200_002, [{"first": 200_000, "past": 200_002}], ["3"], 2, "3", 200_000)
+
+
 def test_words_that_share_a_hash_are_told_apart(monkeypatch):
     import numpy as np
     weak = np.tile(np.arange(256, dtype=np.uint64), 64)     # a word's hash is the sum of its bytes

@@ -4,15 +4,17 @@ DataFrame functions only.
 Regular expressions find the strong spans (assignments, access identifiers, hex
 strings) and weak candidates: names, bare 40-character keys, short assigned
 values, endpoints. A weak candidate is reported only where the parts that
-complete a credential lie in its scope, which is SCOPE code points to either
-side of its start: a name needs a secret, a bare key or short value needs an
+complete a credential lie in its scope, with at most SCOPE code points between
+the two intervals: a name needs a secret, a bare key or short value needs an
 access identifier, an endpoint needs both.
 
-The interval join works on scope-wide bins of each document. A partner within
-SCOPE lies in the candidate's bin or a neighbouring one; per bin and part the
-first and last start are enough (a partner in the same bin is always near
-enough, to the left the last one is nearest, to the right the first). So each
-candidate meets at most three rows, however many parts a document has.
+The interval join works on scope-wide bins of each document; an interval lies in
+every bin from its start to its end. Two in one bin are always near enough;
+else a partner within SCOPE lies in a neighbouring bin, where the largest end
+(to the left) and the smallest start (to the right) are enough. A part tells the
+bins it lies in and the two beside them, so rows grow with the lengths of the
+parts, and a candidate meets one row per bin of its own, however many parts a
+document has.
 """
 from __future__ import annotations
 
@@ -101,19 +103,19 @@ def linked(spans: DataFrame) -> DataFrame:
     parts = (spans.where(F.size("weak") > 0).select("doc_id", "text_hash", F.explode(F.concat("strong", "weak")).alias("x"))
              .select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("d"), F.col("doc_id").isNull().alias("nameless"), "text_hash", "x.*", role[F.col("x.kind")].alias("role")).distinct())
     key = ["d", "nameless", "text_hash"]
-    bins = parts.withColumn("bin", F.floor(F.col("start") / SCOPE))
-    # each bin tells itself and both neighbours where its parts lie
-    told = bins.groupBy(*key, "bin", "role").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
-    told = told.select(*key, "role", "lo", "hi", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    near = told.groupBy(*key, "bin").agg(*(
-        F.collect_list(F.when(F.col("role") == r, F.struct("lo", "hi"))).alias(r) for r in ("ident", "secret", "endpoint")))   # three at most
-    weak = bins.where(F.col("rank") >= 3).join(near, [*key, "bin"])
+    first, last = F.floor(F.col("start") / SCOPE), F.floor(F.col("end") / SCOPE)
+    told = parts.select(*key, "role", "start", "end", first.alias("first"), last.alias("last"), F.explode(F.sequence(first - 1, last + 1)).alias("bin"))
+    here, left = F.col("bin").between(F.col("first"), F.col("last")), F.col("bin") > F.col("last")
+    near = told.groupBy(*key, "bin").agg(*(F.struct(F.max(F.when(F.col("role") == r, here)).alias("here"), F.max(F.when((F.col("role") == r) & left, F.col("end"))).alias("end"),
+                                                    F.min(F.when((F.col("role") == r) & ~left & ~here, F.col("start"))).alias("start")).alias(r) for r in ("ident", "secret", "endpoint")))
+    weak = parts.where(F.col("rank") >= 3).withColumn("bin", F.explode(F.sequence(first, last))).join(near, [*key, "bin"])
 
     def by(r: str) -> Column:
-        start = F.col("start")
-        return F.exists(r, lambda x: (F.abs(x["lo"] - start) <= SCOPE) | (F.abs(x["hi"] - start) <= SCOPE) | ((x["lo"] < start) & (x["hi"] > start)))
-    fits = F.when(F.col("role") == "ident", by("secret")).when(F.col("role") == "secret", by("ident")).otherwise(by("ident") & by("secret"))
-    return (weak.where(fits).groupBy(*key).agg(F.collect_list(F.struct("start", "rank", "end", "kind")).alias("more"))
+        return F.coalesce(F.col(f"{r}.here"), F.lit(False)) | F.coalesce(F.col("start") - F.col(f"{r}.end") <= SCOPE, F.lit(False)) | F.coalesce(F.col(f"{r}.start") - F.col("end") <= SCOPE, F.lit(False))
+    fits = F.when(F.col("role") == "ident", by("secret")).when(F.col("role") == "secret", by("ident")).otherwise(by("ident"))
+    # an endpoint's two partners may lie in different bins of a long endpoint
+    met = weak.groupBy(*key, "role", "start", "rank", "end", "kind").agg(F.max(fits).alias("fits"), F.max(by("secret")).alias("secret_too"))
+    return (met.where(F.col("fits") & ((F.col("role") != "endpoint") | F.col("secret_too"))).groupBy(*key).agg(F.collect_list(F.struct("start", "rank", "end", "kind")).alias("more"))
             .select(F.when(~F.col("nameless"), F.col("d")).alias("doc_id"), "text_hash", "more"))
 
 

@@ -7,7 +7,10 @@ The text behind an identifier tag, up to the end of its line, is a licence
 expression: a shunting-yard parser turns it into postfix order (WITH binds
 tightest, then AND, then OR) and evaluates it to its licence families and a
 score of how freely the text may be used: OR takes the better side (the user
-chooses), AND the worse, WITH adds permissions to its left side.
+chooses), AND the worse, WITH adds permissions to its left side. An operand is an
+identifier of a listed family, a LicenseRef- or a DocumentRef-, or behind WITH an
+exception; the expression ends before any other word, and behind an operand that
+a full stop or colon follows. At most EXPRESSION bytes behind a tag are parsed.
 """
 from __future__ import annotations
 
@@ -51,6 +54,10 @@ FREEDOM = {
     "cc-by": 0.9, "cc-by-sa": 0.6, "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "gpl": 0.3,
     "agpl": 0.2, "cc-by-nd": 0.2, "cc-by-nc": 0.2, "proprietary": 0.0,
 }
+#: identifiers of other families: their scores
+FREEDOM |= {"0bsd": 1.0, "zlib": 1.0, "x11": 1.0, "ncsa": 1.0, "postgresql": 1.0, "python": 1.0, "psf": 1.0, "wtfpl": 1.0, "artistic": 0.6, "afl": 0.9,
+            "cddl": 0.6, "cpl": 0.6, "eupl": 0.4, "ms-pl": 0.6, "ofl": 0.6, "openssl": 0.9, "osl": 0.3, "sspl": 0.1, "busl": 0.1, "gfdl": 0.3, "cecill": 0.3}
+EXPRESSION = 1000   # bytes behind a tag that are read
 UNKNOWN = 0.5       # no notice at all, or a licence that isn't listed
 PIECE = 4 << 20     # bytes of a text whose words are held at once
 
@@ -132,13 +139,29 @@ def tokens_of(text: str) -> list[str]:
             operand = t == ")"
         elif operand:                  # two operands in a row: prose follows
             break
+        elif t == "(":
+            operand = False
         else:
-            operand = t != "("
+            name = t.rstrip(".:")
+            if not (_exception(name) if out and out[-1] == "WITH" else _identifier(name)):
+                break
+            operand = True
+            if name != t:
+                out.append(name)
+                break
         out.append(up if up in _BINDS else t)
         at = m.end()
     return out
 
 
+def _identifier(name: str) -> bool:
+    return name.lower().startswith(("licenseref-", "documentref-")) or family(name) in FREEDOM
+
+
+def _exception(name: str) -> bool:
+    return "exception" in name.lower()
+
+
 def postfix(tokens: list[str]) -> list[str]:
     """Shunting-yard; an unfinished end is closed, a stray ) is passed over."""
     while tokens and (tokens[-1] in _BINDS or tokens[-1] == "("):
@@ -219,8 +242,8 @@ def scan(text: bytes, automaton: AhoCorasick):
             if i in want:
                 ends.append(m.end())
         for e in ends:
-            stop = text.find(b"\n", e)
-            line = text[e:stop if stop >= 0 else len(text)]
+            stop = text.find(b"\n", e, e + EXPRESSION)
+            line = text[e:min(stop if stop >= 0 else len(text), e + EXPRESSION)]
             expression = line.decode("utf-8", "replace").lstrip(" \t:=\"'")
             got = evaluate(expression)
             if got:

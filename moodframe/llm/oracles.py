@@ -54,7 +54,7 @@ l AS (SELECT doc_id, host, text, len({_words('x')}) AS n, regexp_replace(lower(a
       FROM (SELECT doc_id, host, text, unnest(ls) AS x FROM w)),
 held AS (SELECT host, line, count(DISTINCT text) AS held FROM l GROUP BY host, line HAVING count(DISTINCT text) >= 25),
 hosts AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host),
-gone AS (SELECT doc_id, sum(l.n) AS n FROM l JOIN held USING (host, line) JOIN hosts USING (host) WHERE held > 0.05 * docs GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(l.n) AS n FROM l JOIN held USING (host, line) JOIN hosts USING (host) WHERE held > 0.05 * docs OR held >= 1000 GROUP BY doc_id),
 f AS (SELECT w.doc_id, len(w.w) AS n_words, length(array_to_string(w.w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words
       FROM w LEFT JOIN c USING (doc_id) LEFT JOIN gone USING (doc_id)),

@@ -4,9 +4,10 @@ DataFrame functions only.
 Every line is normalised (lower case, white space collapsed, digit runs as 0)
 and hashed; per host the documents that hold a line are counted, exact copies
 of a text as one document. A line held by more than ``share`` of its host's
-documents, and by at least ``min_docs``, is boilerplate. A document is depleted
-if its other lines hold too few words; of the others, such lines are cut out. Repeated 8-word windows, symbols and
-repeated lines within a text are counted next to that.
+documents, and by at least ``min_docs``, is boilerplate, and so is one held by
+``max_docs`` documents, however large the host. A document is depleted if its
+other lines hold too few words; of the others, such lines are cut out. Repeated
+8-word windows, symbols and repeated lines within a text are counted next to that.
 
 What is exploded and shuffled are line hashes, never texts; counts are partial
 aggregates, joins are plain equi-joins that adaptive execution can split.
@@ -86,7 +87,7 @@ def _line_features(text: Column) -> Column:
     return bind(lines_of(text), of_lines)
 
 
-def _judged(docs: DataFrame, host: str = "source", share: float = 0.05, min_docs: int = 25,
+def _judged(docs: DataFrame, host: str = "source", share: float = 0.05, min_docs: int = 25, max_docs: int = 1000,
             min_left: int = 20, min_left_share: float = 0.3) -> DataFrame:
     """What ``quality`` gives, and ``removed``: the places of lines above the
     limit among the lines that hold a word (null if there are none)."""
@@ -100,7 +101,7 @@ def _judged(docs: DataFrame, host: str = "source", share: float = 0.05, min_docs
     lines = base.select("doc_id", "host", "text_hash", F.posexplode("l.lines").alias("at", "x")).select("doc_id", "host", "text_hash", "at", "x.line", "x.words")
     held = lines.select("host", "line", "text_hash").distinct().groupBy("host", "line").agg(F.count("*").alias("held")).where(F.col("held") >= min_docs)
     hosts = base.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    over = held.join(hosts, "host").where(F.col("held") > share * F.col("docs")).select("host", "line")
+    over = held.join(hosts, "host").where((F.col("held") > share * F.col("docs")) | (F.col("held") >= max_docs)).select("host", "line")
     # repeated rows bring each of their lines once
     once = lines.join(over, ["host", "line"]).groupBy("doc_id", "host", "text_hash", "at").agg(F.max("words").alias("words"))
     removed = once.groupBy(F.col("doc_id").alias("d"), F.col("host").alias("h"), F.col("text_hash").alias("t")).agg(F.sum("words").alias("gone"), F.collect_list("at").alias("removed"))
@@ -136,25 +137,29 @@ def _cut(text: Column, removed: Column) -> Column:
     return bind(F.split(text, "\n", -1), of)
 
 
-def _verdicts(docs: DataFrame, verdict: DataFrame, host: str) -> tuple[DataFrame, Column]:
-    """One row for each document of ``verdict``, and the condition that joins it to ``docs``."""
-    one = verdict.select(F.col("doc_id").alias("_d"), F.col("host").alias("_h"), F.col("text_hash").alias("_t"), F.col("kept").alias("_kept"), F.col("removed").alias("_removed")).dropDuplicates(["_d", "_h", "_t"])
-    key = (docs["doc_id"].cast("long").eqNullSafe(one["_d"]) & (F.coalesce(docs[host].cast("string"), F.lit("")) == one["_h"])
-           & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == one["_t"]))
-    return one, key
+def _verdicts(docs: DataFrame, verdict: DataFrame, host: str) -> tuple[DataFrame, DataFrame, Column]:
+    """``docs`` as one struct ``row`` (whatever its columns are called), one row
+    for each document of ``verdict``, and the condition that joins them."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    one = verdict.select("doc_id", "host", "text_hash", "kept", "removed").dropDuplicates(["doc_id", "host", "text_hash"])
+    row = F.col("row")
+    key = (row["doc_id"].cast("long").eqNullSafe(one["doc_id"]) & (F.coalesce(row[host].cast("string"), F.lit("")) == one["host"])
+           & (F.xxhash64(F.coalesce(row["text"].cast("string"), F.lit(""))) == one["text_hash"]))
+    return rows, one, key
 
 
 def good_documents(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """``docs`` without the rejected rows; columns as they were."""
-    bad, key = _verdicts(docs, _judged(docs, host, **limits).where("not kept"), host)
-    return docs.join(bad, key, "left_anti")
+    rows, bad, key = _verdicts(docs, _judged(docs, host, **limits).where("not kept"), host)
+    return rows.join(bad, key, "left_anti").select("row.*")
 
 
 def cleaned_documents(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """``docs`` without the rejected rows, and without the lines above the limit
-    in the texts of the others; other columns, and texts without such lines, as
-    they were."""
-    found, key = _verdicts(docs, _judged(docs, host, **limits).where("not kept or n_removed_words > 0"), host)
-    out = docs.join(found, key, "left").where(F.coalesce("_kept", F.lit(True)))
-    text = F.when(F.col("_removed").isNull(), docs["text"]).otherwise(_cut(docs["text"].cast("string"), F.col("_removed")))
-    return out.select(*((text if c == "text" else docs[f"`{c}`"]).alias(c) for c in docs.columns))
+    in the texts of the others; other columns (of any name), and texts without
+    such lines, as they were."""
+    rows, found, key = _verdicts(docs, _judged(docs, host, **limits).where("not kept or n_removed_words > 0"), host)
+    out = rows.join(found, key, "left").where(F.coalesce(found["kept"], F.lit(True)))
+    old = F.col("row")["text"]
+    text = F.when(found["removed"].isNull(), old).otherwise(_cut(old.cast("string"), found["removed"]))
+    return out.select(*((text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))

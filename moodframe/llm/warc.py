@@ -1,19 +1,20 @@
 """WARC archives through a chunked record table (operator 7).
 
-A payload travels as rows of (record, chunk number, at most CHUNK bytes), never
-as one value: the writer appends the chunks of a record to an archive as they
-come, the reader cuts an archive into the same rows as it streams through it,
-each with the digest of the payload so far. Neither holds more than a chunk of
-a record.
+A payload is cut where it is scanned and travels as rows of (record, chunk
+number, at most CHUNK bytes), never as one value: the writer appends the chunks
+of a record to an archive as they come, the reader cuts an archive into the same
+rows as it streams through it, each with the digest of the payload so far.
+Neither holds more than a chunk of a record.
 
 Of equal payloads from ``least`` bytes on, the record with the largest page_id
 is the response and the others revisit it; which those are is an aggregate over
-digests.
+a slim table of ids, sizes and digests, joined to chunk rows by record. Smaller
+payloads are written where they are scanned.
 
 Archives lie in a folder that all executors share, opened through pyarrow's
-file systems. A task writes under a name of its own attempt and renames it when
-it is complete, so a task that is repeated replaces its archive by an equal
-one; the list of archives is itself a written table. Each record is a gzip member of
+file systems. A task writes archives of its own attempt's name, so that a task
+that is repeated meets none of another; the list of archives is itself a written
+table, and what isn't in it was never completed. Each record is a gzip member of
 its own, as is usual for WARC; compression and decompression are streamed too.
 """
 from __future__ import annotations
@@ -48,24 +49,36 @@ def record_id(page: str | None, sha256: str) -> str:
 
 
 # ---- deciding and cutting ----------------------------------------------------
-def typed(pages: DataFrame, least: int = REVISIT_LEAST) -> DataFrame:
-    """page_id, url, payload, n_bytes, sha1, sha256, refers_to (page_id of the
-    response for revisits, else null), one row per row of ``pages``."""
+def _payloads(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.select("*", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256"))
-    same = rows.where(F.col("n_bytes") >= least).groupBy(F.col("sha256").alias("_s")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("_s", "first")
-    out = rows.join(same, rows["sha256"] == same["_s"], "left")
-    return out.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("_s", "first")
-
-
-def chunks(records: DataFrame, size: int = CHUNK) -> DataFrame:
-    """The rows of ``typed`` with the payload cut into numbered chunks; a
-    revisit has one empty chunk, since its record carries no payload."""
-    n = F.when(F.col("refers_to").isNull(), F.greatest(F.ceil(F.col("n_bytes") / size) - 1, F.lit(0))).otherwise(F.lit(0)).cast("int")
-    cut = records.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), n)))
-    data = F.when(F.col("refers_to").isNull(), F.substring("payload", F.col("chunk_no") * size + 1, F.lit(size))).otherwise(F.lit(b""))
-    return cut.select("page_id", "url", "n_bytes", "sha1", "sha256", "refers_to", "chunk_no", data.alias("data"))
+    return rows.withColumn("n_bytes", F.octet_length("payload").cast("long"))
+
+
+def revisits(pages: DataFrame, least: int = REVISIT_LEAST) -> DataFrame:
+    """page_id, sha256, refers_to (page_id of the response) of the records that
+    revisit another, once each."""
+    slim = _payloads(pages).where(F.col("n_bytes") >= least).select("page_id", F.sha2("payload", 256).alias("sha256"))
+    slim = written(slim, "warc-payloads")
+    same = slim.groupBy("sha256").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    return slim.join(same, "sha256").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "sha256", "refers_to").distinct()
+
+
+def chunk_rows(pages: DataFrame, least: int = REVISIT_LEAST, size: int = CHUNK) -> DataFrame:
+    """page_id, url, n_bytes, sha1, sha256, refers_to, chunk_no, data: the
+    payloads in numbered chunks, a record's next to each other; a revisit has
+    one empty chunk, since its record carries no payload."""
+    def cut(rows: DataFrame) -> DataFrame:
+        rows = rows.select("*", F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha256"), F.monotonically_increasing_id().alias("row"))
+        rows = rows.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n_bytes") / size) - 1, F.lit(0)).cast("int"))))
+        return rows.select("page_id", "url", "n_bytes", "sha1", "sha256", "row", "chunk_no", F.substring("payload", F.col("chunk_no") * size + 1, F.lit(size)).alias("data"))
+    rows, to = _payloads(pages), revisits(pages, least).select(F.col("page_id").alias("_p"), F.col("sha256").alias("_s"), "refers_to")
+    small = cut(rows.where(F.col("n_bytes") < least)).withColumn("refers_to", F.lit(None).cast("long"))
+    large = cut(rows.where(F.col("n_bytes") >= least))
+    large = large.join(to, large["page_id"].eqNullSafe(to["_p"]) & (large["sha256"] == to["_s"]), "left").where("refers_to is null or chunk_no = 0")
+    large = large.withColumn("data", F.when(F.col("refers_to").isNull(), F.col("data")).otherwise(F.lit(b""))).sortWithinPartitions("sha256", "page_id", "row", "chunk_no")
+    names = ["page_id", "url", "n_bytes", "sha1", "sha256", "refers_to", "chunk_no", "data"]
+    return small.select(*names).unionByName(large.select(*names))
 
 
 # ---- writing -------------------------------------------------------------------
@@ -96,9 +109,8 @@ class _Archives:
         self.fs.create_dir(self.root, recursive=True)
 
     def open(self) -> None:
-        self.final = f"{self.root}/part-{self.part:05d}-{self.n:05d}.warc.gz"
-        self.own = f"{self.root}/.attempt-{self.attempt}-{self.part:05d}-{self.n:05d}"
-        self.out = self.fs.open_output_stream(self.own, compression=None)
+        self.name = f"part-{self.part:05d}-{self.attempt}-{self.n:05d}.warc.gz"
+        self.out = self.fs.open_output_stream(f"{self.root}/{self.name}", compression=None)
         self.n, self.records, self.size, self.member = self.n + 1, 0, 0, None
 
     def begin(self) -> None:
@@ -118,8 +130,7 @@ class _Archives:
     def close(self) -> tuple[str, int, int]:
         self.out.close()
         self.out = None
-        self.fs.move(self.own, self.final)
-        return self.final.removeprefix(f"{self.root}/"), self.records, self.size
+        return self.name, self.records, self.size
 
 
 def write_archives(cut: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -292,5 +303,5 @@ def archive_pages(pages: DataFrame, folder: str | None = None, least: int = REVI
     gives no archive and no row.
     """
     folder = folder or shared_folder(pages.sparkSession, "warc")
-    archives = write_archives(chunks(typed(pages, least)), folder, archive_bytes)
+    archives = write_archives(chunk_rows(pages, least), folder, archive_bytes)
     return page_records(read_archives(archives, folder, payload=False))

@@ -40,7 +40,7 @@ def plain_quality(doc, docs, cache={}):  # noqa: B006
     covered = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 8)}
     if len(w) < 20 or 100 * len(covered) > 30 * len(w):
         return False
-    gone = sum(len(WORD.findall(x)) for x in text.split("\n") if WORD.search(x) and held[source, norm(x)] >= 25 and held[source, norm(x)] > 0.05 * hosts[source])
+    gone = sum(len(WORD.findall(x)) for x in text.split("\n") if WORD.search(x) and held[source, norm(x)] >= 25 and (held[source, norm(x)] > 0.05 * hosts[source] or held[source, norm(x)] >= 1000))
     return len(w) - gone >= 20 and len(w) - gone >= 0.3 * len(w)
 
 

@@ -46,6 +46,9 @@ def test_random_texts(spark, monkeypatch):
     ("MPL-2.0 is what we use", ["MPL-2.0"], {"mpl"}, 0.6),
     ("(MIT AND", ["MIT"], {"mit"}, 1.0),
     ("MIT)) OR", ["MIT"], {"mit"}, 1.0),
+    ("MIT.", ["MIT"], {"mit"}, 1.0),
+    ("GPL-2.0 or later", ["GPL-2.0"], {"gpl"}, 0.3),
+    ("0BSD OR Zlib: both", ["0BSD", "Zlib", "OR"], {"0bsd", "zlib"}, 1.0),
     ("LicenseRef-own", ["LicenseRef-own"], {"licenseref-own"}, 0.5),
 ])
 def test_expressions(text, order, families, score):
@@ -60,3 +63,13 @@ def test_no_licence_behind_a_tag():
     automaton = op.AhoCorasick([*op.BASE_PHRASES, *op.NOTICES, *op.TAGS])
     assert op.evaluate("") is None and op.evaluate("OR (") is None
     assert op.scan(b"SPDX-License-Identifier:", automaton)[5:] == ("", [], 0.5)
+
+
+def test_prose_gives_no_label_and_many_tags_stay_linear():
+    import time
+    automaton = op.AhoCorasick([*op.BASE_PHRASES, *op.NOTICES, *op.TAGS])
+    for text in (b"The license expression is free text", b"license expression of the day", b"SPDX-License-Identifier: see below"):
+        assert op.scan(text, automaton)[5:] == ("", [], 0.5)
+    began = time.process_time()
+    assert len(op.scan(b"SPDX-License-Identifier: MIT " * 30_000, automaton)[6]) == 30_000
+    assert time.process_time() - began < 10

@@ -73,3 +73,16 @@ def test_lines_above_the_limit_are_cut(spark):
     assert op.cleaned_documents(df.limit(0)).count() == 0
     import corpus_pipeline
     assert sorted(map(str, map(tuple, corpus_pipeline.quality(spark, df, "").collect()))) == sorted(map(str, want))
+
+
+def test_large_host_and_clashing_columns(spark):
+    foot = "Share this page with all your friends and read more of it here every day of the long year now"
+    rows = [(i, f"{foot}\nnumber {'x' * (i % 7)} of {i} " + " ".join(f"q{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{j}z" for j in range(4)), "a", True, "r", 1, 2) for i in range(60)]
+    rows += [(1000 + i, " ".join(f"own{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for k in range(25)), "a", None, "r", 1, 2) for i in range(340)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _kept boolean, row string, `a.b` int, removed int")
+    few = {r.doc_id: r for r in op.quality(df, share=0.5).collect()}
+    assert few[3].kept and few[3].n_removed_words == 0              # 15 % of a host of 400
+    many = {r.doc_id: r for r in op.quality(df, share=0.5, max_docs=60).collect()}
+    assert not many[3].kept and many[3].n_removed_words >= 18 and many[1003].kept
+    for got in (op.good_documents(df, share=0.5, max_docs=60), op.cleaned_documents(df, share=0.5, max_docs=60)):
+        assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted(rows[60:], key=str)

@@ -9,6 +9,8 @@ could fall on one hot key (segments, top-k) are done in two levels
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -188,45 +190,51 @@ def admission_by_session(req: DataFrame, calls: int, period_seconds: int, key: s
     return s.withColumn("accepted", F.row_number().over(w) <= calls)
 
 
-def admission_exact(req: DataFrame, calls: int, period_seconds: int, key: str = "client") -> DataFrame:
-    """W10/ST5 exact rule, sequential per client: a request is accepted when
-    the client has no live history or fewer than ``calls`` accepted in it;
-    history is forgotten once the last *accepted* request is older than
-    ``period_seconds``; rejected requests do not extend it.
-
-    Clients are split at gaps >= period between consecutive events (history
-    always resets there), so each applyInPandas group is one client's
-    burst, not its whole history."""
-    import numpy as np
-    import pandas as pd
-
-    chunked = gap_sessions(req.select(key, "event_id", "ts"), key, "ts", "event_id", period_seconds)
-    chunked = chunked.withColumn("_t", epoch_seconds("ts"))
-    # Bursts are hash-partitioned and each partition is streamed in order;
-    # the replay state is three scalars, so no group is ever materialised.
-    ordered = chunked.repartition(key, "session").sortWithinPartitions(key, "session", "_t", "event_id")
-
-    def run(batches):
-        cur, n, last = None, 0, None
-        for pdf in batches:
-            ks, ss, ts = pdf[key].to_numpy(), pdf["session"].to_numpy(), pdf["_t"].to_numpy()
-            out = np.empty(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
-                g = (ks[i], ss[i])
-                if g != cur:
-                    cur, n, last = g, 0, None
-                t = ts[i]
-                if last is not None and t - last >= period_seconds:
-                    n, last = 0, None
-                if n < calls:
-                    n, last = n + 1, t
-                    out[i] = True
-                else:
-                    out[i] = False
-            yield pd.DataFrame({key: ks, "event_id": pdf["event_id"].to_numpy(), "accepted": out})
-
-    schema = f"{key} long, event_id long, accepted boolean"
-    return ordered.mapInPandas(run, schema)
+def admission_exact(req: DataFrame, calls: int, period_seconds: int, key: str = "client",
+                    bucket_seconds: float | None = None) -> DataFrame:
+    """W10/ST5 exact rule: a request is accepted when the client has no live
+    history or fewer than ``calls`` accepted in it; history is forgotten once
+    the last *accepted* request is older than ``period_seconds``; rejected
+    requests do not extend it.
+
+    History always resets at a gap >= period between consecutive events, so a
+    session of at most ``calls`` events is accepted whole. In a longer one, a run
+    that starts at event i accepts i .. i + calls - 1, and the next run starts at
+    the first event with t >= t(i + calls - 1) + period: a pointer from every
+    event to another, found by prefix counts in time buckets. The starts that are
+    reached from a session's first event are marked by pointer doubling: the
+    round k joins what is reached in 2^k steps with pointers of 2^k steps. Every
+    step is a join or a window over (client, time bucket), however long a burst
+    or hot a client is."""
+    from ..session import materialize
+    rows = req.select(key, "event_id", "ts")
+    if calls < 1:
+        return rows.select(key, "event_id", F.lit(False).alias("accepted"))
+    width = bucket_seconds or bucket_width(rows, key, "ts")
+    s = materialize(gap_sessions(rows, key, "ts", "event_id", period_seconds, width), "admission-sessions")
+    sizes = s.groupBy(key, "session").agg(F.count(F.lit(1)).alias("_size"))
+    most = sizes.agg(F.max("_size")).first()[0] or 0
+    short = join_null_safe(s, sizes.filter(F.col("_size") <= calls), [key, "session"]).select(key, "event_id", F.lit(True).alias("accepted"))
+    if most <= calls:
+        return short
+    # events of long sessions, numbered by client: a session's numbers are consecutive
+    o = join_null_safe(s, sizes.filter(F.col("_size") > calls), [key, "session"])
+    o = materialize(two_level_prefix(o, key, "ts", "event_id", ["event_id"], lambda p, c: F.lit(True), "_i", 0, width), "admission-long")
+    spans = o.groupBy(key, "session").agg(F.min("_i").alias("_first"), F.max("_i").alias("_last"))
+    full = o.select(key, (F.col("_i") - (calls - 1)).alias("_i"), F.col("session"), F.expr(f"timestampadd(MICROSECOND, {int(period_seconds * 1_000_000)}, ts)").alias("ts"))
+    runs = join_null_safe(full, spans, [key, "session"]).filter(F.col("_i") >= F.col("_first"))
+    # a pointer is the number of events before the end of the period, plus 1
+    asked = runs.select(key, "ts", F.lit(0).alias("_event"), "_i", "_last").unionByName(o.select(key, "ts", F.lit(1).alias("_event"), "_i", F.lit(None).cast("long").alias("_last")))
+    asked = two_level_prefix(asked, key, "ts", "_event", ["_event"], lambda p, c: c["_event"] == 1, "_to", 1, width)
+    to = asked.filter((F.col("_event") == 0) & (F.col("_to") <= F.col("_last"))).select(key, "_i", "_to")
+    to, reached = materialize(to, "admission-pointers"), spans.select(key, F.col("_first").alias("_i"))
+    for _ in range(math.ceil(math.log2(-(-most // calls))) if most > calls else 0):
+        reached = materialize(reached.unionByName(join_null_safe(reached, to, [key, "_i"]).select(key, F.col("_to").alias("_i"))), "admission-reached")
+        onward = to.select(key, F.col("_i").alias("_to"), F.col("_to").alias("_further"))
+        to = materialize(join_null_safe(to, onward, [key, "_to"]).select(key, "_i", F.col("_further").alias("_to")), "admission-pointers")
+    taken = reached.select(F.col(key).alias("_k"), F.explode(F.sequence("_i", F.col("_i") + (calls - 1))).alias("_at")).distinct()    # a run that a session's end cuts short reaches into the next
+    long = o.join(taken, o[key].eqNullSafe(taken["_k"]) & (o["_i"] == taken["_at"]), "left")
+    return short.unionByName(long.select(key, "event_id", F.col("_at").isNotNull().alias("accepted")))
 
 
 def alerts(metrics: DataFrame) -> DataFrame:

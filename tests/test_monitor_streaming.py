@@ -41,6 +41,22 @@ def test_admission_exact_matches_bruteforce(spark):
     assert got[4] is True and got[2] is False
 
 
+def test_admission_of_hot_clients(spark):
+    import random
+    r = random.Random(7)
+    rows, t = [], 0
+    for i in range(3000):                   # one client's unbroken burst, with equal times
+        t += r.choice([0, 0, 1, 1, 2, 5]) if i % 1000 else 100
+        rows.append((1, i, T0 + dt.timedelta(seconds=t)))
+    rows += [(c, 10_000 + 100 * c + i, T0 + dt.timedelta(seconds=r.randint(0, 400))) for c in range(2, 8) for i in range(40)]
+    rows += [(None, 20_000 + i, T0 + dt.timedelta(seconds=7 * i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "client LONG, event_id LONG, ts TIMESTAMP_NTZ").repartition(6)
+    for calls, period, bucket in ((2, 60, None), (7, 10, 50.0), (1, 3, 13.0), (5000, 60, None), (0, 60, None)):
+        got = mo.admission_exact(df, calls, period, bucket_seconds=bucket).collect()
+        assert len(got) == len(rows) and {x.event_id: x.accepted for x in got} == brute_admission(rows, calls, period)
+    assert mo.admission_exact(df.limit(0), 2, 60).count() == 0
+
+
 def test_admission_stream_matches_batch(spark):
     rows = _admission_rows()
     df = spark.createDataFrame(rows, "client LONG, event_id LONG, ts TIMESTAMP_NTZ")

@@ -139,14 +139,13 @@ def mean_word_vector(df: DataFrame, key: str, text_col: str, vectors: DataFrame,
 
     A row and word are one row with their count before a vector is joined, so
     the shuffle carries no vectors for repeats; a word in very many rows is
-    split by the skew join. The mean is MLlib's weighted Summarizer, a partial
-    aggregate, so no group is ever collected into a list."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
+    split by the skew join. The mean is a sum per coordinate, a partial
+    aggregate over plain doubles, so no group is ever collected into a list."""
+    dim = dim or (vectors.agg(F.max(F.size(vec_col))).first()[0] or 0)
     words = df.select(key, F.explode(tx.split_ws(F.lower(F.col(text_col)))).alias(word_col)).groupBy(key, word_col).agg(F.count(F.lit(1)).cast("double").alias("_tf"))
-    hit = words.join(vectors.select(word_col, array_to_vector(F.col(vec_col)).alias("_v")), word_col, "inner")
-    means = hit.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("_v"), F.col("_tf"))).alias("_m"))
+    hit = words.join(vectors.select(word_col, F.col(vec_col).alias("_v")), word_col, "inner")
+    sums = hit.groupBy(key).agg(F.sum("_tf").alias("_n"), *[F.sum(F.col("_v")[i].cast("double") * F.col("_tf")).alias(f"_s{i}") for i in range(dim)])
+    means = sums.select(key, F.array(*[F.col(f"_s{i}") / F.col("_n") for i in range(dim)]).cast("array<double>").alias("_m"))
     zero = F.array_repeat(F.lit(0.0), dim) if dim else F.array().cast("array<double>")
     return (df.select(key).join(means, key, "left")
               .select(key, F.coalesce(F.col("_m"), zero).alias("mean_vec")))

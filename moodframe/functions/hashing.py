@@ -35,11 +35,6 @@ def pick_index(n, key, seed=42, salt="", k=0) -> Column:
     return F.floor(u01(key, seed, salt, k) * n_col).cast("int")
 
 
-def hex_prefix(key, seed=42, salt="", width=2) -> Column:
-    """Leading hex digits of the same digest, used as a sortable bucket."""
-    return F.substring(F.md5(hash_key(key, seed, salt, 0)), 1, width)
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row. A column that is
     only used inside a lambda may be inlined there and evaluated per element;

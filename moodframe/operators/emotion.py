@@ -47,10 +47,10 @@ def pick_emotion(scores: Column, sentiment: Column) -> Column:
     """Arg-max among the emotions of the predicted sentiment; ties and
     all-zero -> the first such emotion in order; no scores -> the first."""
     emos = [(e[0], e[2]) for e in lx.EMOTION_MAPPING]
-    cand = F.filter(_ranked(F.coalesce(scores, F.create_map().cast("map<string,double>")), emos),
-                    lambda x: x.getField("sentiment") == sentiment)
-    cand = F.transform(cand, lambda x: x.withField("score", F.coalesce(x.getField("score"), F.lit(0.0))))
-    return F.array_max(cand).getField("emotion")
+    m = F.coalesce(scores, F.create_map().cast("map<string,double>"))
+    # no lambda: the map is one common subexpression of generated code
+    return F.array_max(F.array(*[F.when(sentiment == s, F.struct(F.coalesce(F.element_at(m, e), F.lit(0.0)).alias("score"), F.lit(-i).alias("neg_ord"), F.lit(e).alias("emotion")))
+                                 for i, (e, s) in enumerate(emos)])).getField("emotion")
 
 
 def attach_emotion_details(df: DataFrame, emotion_col: str = "emotion") -> DataFrame:

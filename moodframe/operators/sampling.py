@@ -58,11 +58,6 @@ def class_ranked(df: DataFrame, label_col: str, key_col: str, seed=42, salt="",
     return ranked.drop("_b", "_off")
 
 
-def _take_first(df: DataFrame, label_col: str, key_col: str, n_per_class: Column, seed, salt) -> DataFrame:
-    r = class_ranked(df, label_col, key_col, seed, salt)
-    return r.filter(F.col("_rank") <= n_per_class)
-
-
 def stratified_split(df: DataFrame, label_col: str = "label", key_col: str = "doc_id",
                      test_size: float = 0.3, seed: int = 42) -> DataFrame:
     """B1: adds ``split`` = 'test' for the first round(test_size * n_class)

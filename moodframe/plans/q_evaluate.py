@@ -266,14 +266,12 @@ def a17_best_model(spark, sf_dir):
 FOLDS = 10
 
 
-def _fold_scores(spark, sf_dir, salt_epoch: int = 0):
+def _fold_scores(spark, sf_dir):
     """(model, fold, train_f1, valid_f1): confusion counts per fold, train
     counts as totals minus the fold (counts are additive), all on the small
     aggregated table."""
     s = scored(spark, sf_dir)
-    if salt_epoch:
-        s = s.withColumn("_key", F.col("doc_id") + F.lit(0))
-    f = sm.stratified_folds(s, k=FOLDS, seed=42 + salt_epoch)
+    f = sm.stratified_folds(s, k=FOLDS, seed=42)
     long = f.select("fold", "label", F.explode(F.array(*[F.struct(F.lit(f"m{k}").alias("model"), F.col(f"p{k}").alias("prediction"))
                                                          for k in range(1, K + 1)])).alias("m"))
     cc = long.groupBy("m.model", "fold", "label", "m.prediction").agg(F.count(F.lit(1)).alias("n"))

@@ -99,3 +99,19 @@ def test_trailing_rate_halo_bruteforce(spark):
     for _, eid, t, _ in rows:
         n = sum(1 for _, _, u, _ in rows if t - dt.timedelta(seconds=3600) <= u <= t)
         assert abs(got[eid] - n / 3600.0) < 1e-12
+
+
+def test_dedup_within_watermark(spark):
+    hours = [0, 1, 5, 60, 61, 200]          # at 200 the watermark (61 - 24) has passed the end of the first event's day
+    rows = [(1, i, T0 + dt.timedelta(hours=h), "a") for i, h in enumerate(hours)]
+    rows += [(2, 100 + i, T0 + dt.timedelta(hours=h), "a") for i, h in enumerate(hours)] + [(1, 200, T0, "b")]
+    df = spark.createDataFrame(rows, "client LONG, event_id LONG, ts TIMESTAMP_NTZ, event_type STRING")
+    path = ss.land_files(df, "ts", 6, "test-st2")
+    s = ss.file_stream(spark, path, df.schema).withColumn("_ets", F.col("ts").cast("timestamp"))
+    d = s.withWatermark("_ets", "1 day").dropDuplicatesWithinWatermark(["client", "event_type"]).select("event_id", "client", "event_type")
+    out = ss.run_available(d, "test-st2")
+    got = {}
+    for r in ss.read_sink(spark, out, "event_id long, client long, event_type string").collect():
+        got.setdefault((r.client, r.event_type), []).append(hours[r.event_id % 100] if r.event_id != 200 else 0)
+    assert set(got) == {(1, "a"), (2, "a"), (1, "b")} and len(got[1, "b"]) == 1
+    assert sorted(got[1, "a"]) == sorted(got[2, "a"]) == [0, 200]

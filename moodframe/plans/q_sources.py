@@ -172,6 +172,38 @@ def s14_html_comments(spark, sf_dir):
     return c.select("page_id", "pos", F.md5("author").alias("author_md5"), F.md5("text").alias("text_md5"))
 
 
+def _turn_pages(spark, sf_dir):
+    """Pages of comments from the conversations: each even turn is a comment, and
+    the turn behind it a reply inside its element."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def escaped(c):
+        return F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    name, at = F.concat_ws("_", "conv_id", "turn"), F.col("turn").cast("string")
+
+    def element(link, inner):
+        return F.concat(F.lit('<div role="article"><a role="link" tabindex="0" href="/u?a=1&amp;b=2"><span>'), escaped("role"), F.lit('</span></a><p><div dir="auto">'), escaped("text"),
+                        F.lit('<br></div><a href="/p?'), link, F.lit('">'), at, F.lit(' h</a><span aria-label="'), (F.col("turn") + 2).cast("string"), F.lit(' reactions">x</span>'), inner, F.lit("</div>"))
+    top = t.filter(F.col("turn") % 2 == 0)
+    reply = t.filter(F.col("turn") % 2 == 1).select(F.col("conv_id").alias("_c"), (F.col("turn") - 1).alias("_t"), element(
+        F.concat(F.lit("comment_id="), F.concat_ws("_", "conv_id", F.col("turn") - 1), F.lit("&amp;reply_comment_id="), name), F.lit("")).alias("_reply"))
+    both = top.join(reply, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
+    inner = F.coalesce(F.concat(F.lit('<ul><li style="margin-left:8px">'), F.col("_reply"), F.lit("</ul>")), F.lit(""))
+    return both.select(name.alias("page_id"), F.concat(F.lit("<html><body><script>'<div role=\"article\">'</script>"), element(F.concat(F.lit("comment_id="), name), inner), F.lit("</body>")).alias("html"))
+
+
+_STRIP = "regexp_replace(coalesce({}, ''), '^[\\t\\n\\x0B\\f\\r\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{Z}}]+|[\\t\\n\\x0B\\f\\r\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{Z}}]+$', '', 'g')"
+
+
+@register("s14_j5_comment_tree", f"""WITH t AS (SELECT conv_id, turn, {_STRIP.format("role")} AS author, {_STRIP.format("text")} AS text FROM conversations),
+r AS (SELECT t.*, conv_id || '_' || (turn - turn % 2) AS page_id FROM t WHERE turn % 2 = 0 OR EXISTS (SELECT 1 FROM t AS e WHERE e.conv_id = t.conv_id AND e.turn = t.turn - 1))
+SELECT page_id, CAST(turn % 2 AS INTEGER) AS pos, conv_id || '_' || turn AS comment_id, CASE WHEN turn % 2 = 1 THEN page_id END AS parent_id, author, turn || ' h' AS posted,
+  md5(text) AS text_md5, turn % 2 = 1 AS is_reply, CAST(turn + 2 AS INTEGER) AS reactions FROM r WHERE text <> '' AND author <> ''""")
+def s14_j5_comment_tree(spark, sf_dir):
+    c = rd.comment_tree(_turn_pages(spark, sf_dir))
+    return c.select("page_id", "pos", "comment_id", "parent_id", "author", "posted", F.md5("text").alias("text_md5"), "is_reply", F.col("reactions.total").alias("reactions"))
+
+
 @register("k1_k3_write_and_append", f"""WITH d AS ({LABELLED_DOCS}) SELECT doc_id, label, md5(text) AS text_md5, CAST(2 AS BIGINT) AS n FROM d""")
 def k1_k3_write_and_append(spark, sf_dir):
     d = ds.labelled_documents(spark, sf_dir).select("doc_id", "label", "text")

@@ -5,7 +5,11 @@ reads one line on the driver."""
 from __future__ import annotations
 
 import os
+import re
+from collections import Counter
+from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,3 +159,117 @@ def extract_comments(pages: DataFrame, key: str = "page_id", html: str = "html")
     blocks = pages.select(key, author.alias("author"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(P_BLOCK), 1)).alias("pos", "block"))
     c = blocks.select(key, "pos", "author", tx.py_strip(tx.strip_tags(F.col("block"))).alias("text"))
     return c.filter((F.col("text") != "") & (F.col("author") != ""))
+
+
+# ---- S14: the comment tree of a page ---------------------------------------------
+
+#: elements that have no end tag
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+COMMENT_TREE = ("pos int, comment_id string, parent_id string, author string, profile string, posted string, text string, "
+                "reactions_label string, is_reply boolean, badge boolean")
+_TREE_FIELDS = [f.split()[0] for f in COMMENT_TREE.split(", ")]
+
+
+class _CommentScanner(HTMLParser):
+    """One pass over a page with a stack of open elements. A comment is an element
+    with role="article"; what lies in a comment inside it belongs to that one."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, dict | None, str | None, bool]] = []     # tag, comment that starts here, field that its text fills, indented
+        self.held = Counter()                                               # open elements by tag, so that a stray end tag costs nothing
+        self.comments: list[dict] = []
+        self.inside: list[dict] = []                                        # open comments, innermost last
+        self.filling: list[tuple[dict, str]] = []
+        self.indents = 0
+
+    def handle_starttag(self, tag, attrs):
+        at = {k: v or "" for k, v in attrs}
+        label, href, comment, field = at.get("aria-label", ""), at.get("href", ""), None, None
+        if at.get("role") == "article":
+            comment = {"pos": len(self.comments), "parent": self.inside[-1] if self.inside else None, "id": None, "linked": None, "author": [], "profile": None, "posted": [],
+                       "text": [], "label": None, "reply": bool(self.inside) or self.indents > 0 or "Reply" in label or "Trả lời" in label, "badge": []}
+            self.comments.append(comment)
+            self.inside.append(comment)
+        elif self.inside:
+            own = self.inside[-1]
+            if tag == "a" and "comment_id=" in href and own["id"] is None:
+                reply, top = (re.search(rf"(?:^|[?&]){k}=([0-9_]+)", href) for k in ("reply_comment_id", "comment_id"))
+                own["id"], own["linked"] = (reply or top)[1] if reply or top else None, top[1] if reply and top else None
+                own["reply"] |= reply is not None
+                field = "posted"
+            elif tag == "a" and at.get("role") == "link" and at.get("tabindex") == "0" and own["profile"] is None:
+                own["profile"], field = href, "author"
+            elif tag == "div" and at.get("role") == "link":
+                field = "badge"
+            elif at.get("dir") == "auto":
+                field = "text"
+            if own["label"] is None and "reaction" in label:
+                own["label"] = label
+        if tag in VOID:
+            if tag == "br":
+                self.handle_data("\n")
+            return
+        indented = bool(re.search(r"(?:margin|padding)-left", at.get("style", "")))
+        self.indents += indented
+        self.held[tag] += 1
+        self.open.append((tag, comment, field, indented))
+        if field:
+            self.filling.append((self.inside[-1], field))
+
+    def handle_endtag(self, tag):
+        if not self.held[tag]:
+            return
+        while True:
+            name, comment, field, indented = self.open.pop()
+            self.held[name] -= 1
+            self.indents -= indented
+            if field:
+                self.filling.pop()
+            if comment is not None:
+                self.inside.pop()
+            if name == tag:
+                return
+
+    def handle_data(self, data):
+        if self.filling and self.inside and self.filling[-1][0] is self.inside[-1]:
+            self.filling[-1][0][self.filling[-1][1]].append(data)
+
+    def rows(self):
+        for c in self.comments:
+            parent = (c["parent"]["id"] if c["parent"] else None) or c["linked"]
+            yield (c["pos"], c["id"], parent if c["reply"] else None, "".join(c["author"]), c["profile"], "".join(c["posted"]) or None, "".join(c["text"]),
+                   c["label"], c["reply"], "Top contributor" in "".join(c["badge"]))
+
+
+def _scanned(batches):
+    for batch in batches:
+        keys, rows = [], []
+        for i, page in enumerate(batch.column(1)):
+            scanner = _CommentScanner()
+            scanner.feed(page.as_py() or "")
+            scanner.close()
+            for row in scanner.rows():
+                keys.append(i)
+                rows.append(row)
+        columns = list(zip(*rows, strict=True)) or [()] * len(_TREE_FIELDS)
+        kinds = [pa.int32(), *[pa.string()] * 7, pa.bool_(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["_key", *_TREE_FIELDS])
+
+
+def comment_tree(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Every comment element of a page with its id, parent's id,
+    author, profile, time as written, text, reactions, reply flag, badge and
+    language; only comments that have text and author. ``pos`` counts the
+    comment elements of the page from 0.
+
+    A reply is a comment inside another, in an indented element, labelled as
+    one, or linked by reply_comment_id; its parent is the comment around it, or
+    the one its link names. A null page has no comments; unclosed elements end
+    with the element around them."""
+    kind = T.StructType([T.StructField("_key", pages.schema[key].dataType), *T.StructType.fromDDL(COMMENT_TREE).fields])
+    rows = pages.select(F.col(key).alias("_key"), F.col(html).cast("string").alias("html")).mapInArrow(_scanned, kind)
+    rows = rows.withColumn("author", tx.py_strip(F.col("author"))).withColumn("text", tx.py_strip(F.col("text"))).withColumn("posted", tx.py_strip(F.col("posted")))
+    rows = rows.filter((F.col("text") != "") & (F.col("author") != ""))
+    return rows.select(F.col("_key").alias(key), *[c for c in _TREE_FIELDS if c != "reactions_label"],
+                       tx.reaction_counts(F.coalesce("reactions_label", F.lit(""))).alias("reactions"), tx.detect_language(F.col("text")).alias("language"))

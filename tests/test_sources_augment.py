@@ -45,3 +45,31 @@ def test_augmentation_partition_invariant(spark):
         outs.append(sorted((r.doc_id, r.variant, r.aug_text) for r in a.collect()))
     assert outs[0] == outs[1]
     assert len(outs[0]) == 40 * 6
+
+
+def test_comment_tree(spark):
+    def comment(name, text, link, inner="", more=""):
+        return (f'<div role="article" aria-label="{more}"><div><a role="link" tabindex="0" href="/{name}"><span> {name} </span></a></div>'
+                f'<div dir="auto">{text}</div><a href="{link}">2h</a>{inner}</div>')
+    deep = comment("cy", "third &lt;b&gt;", "?x=1&amp;comment_id=11&amp;reply_comment_id=13")
+    page = ("<html><!-- <div role='article'> --><script>var a = '<div role=\"article\">';</script><div role='link'>Top contributor</div>"
+            + comment("ann", "first<br>line <b>two</b>", "/p?comment_id=10", '<i aria-label="2 Like, 1 Love reactions"></i></p></em><ul><li>'
+                      + comment("bob", "second", "/p?comment_id=11", "<ul><li>" + deep + "</ul>") + "</ul><div role='link'>Top contributor</div>")
+            + '<div style="padding-left: 4px">' + comment("dee", "xin chào", "/p?comment_id=21&reply_comment_id=22") + "</div>"
+            + comment("eve", " ", "/p?comment_id=30") + comment("", "nobody", "/p?comment_id=31") + comment("fay", "alone", "/p", more="Reply by fay") + "<div role='article'><div dir='auto'>open")
+    df = spark.createDataFrame([(1, page, "c"), (2, None, "c"), (3, "", "c"), (4, "<p>no comment</p>", "c")], "page_id long, html string, comment_id string")
+    got = [(r.page_id, r.pos, r.comment_id, r.parent_id, r.author, r.profile, r.posted, r.text, r.reactions.total, r.is_reply, r.badge, r.language) for r in rd.comment_tree(df).orderBy("pos").collect()]
+    assert got == [(1, 0, "10", None, "ann", "/ann", "2h", "first\nline two", 3, False, True, "en"),
+                   (1, 1, "11", "10", "bob", "/bob", "2h", "second", 0, True, False, "en"),
+                   (1, 2, "13", "11", "cy", "/cy", "2h", "third <b>", 0, True, False, "en"),
+                   (1, 3, "22", "21", "dee", "/dee", "2h", "xin chào", 0, True, False, got[3][11]),
+                   (1, 6, None, None, "fay", "/fay", None, "alone", 0, True, False, "en")]
+    assert rd.comment_tree(df.limit(0)).count() == 0
+
+
+def test_comment_tree_of_a_broken_page_is_linear(spark):
+    import time
+    began = time.process_time()
+    scanner = rd._CommentScanner()
+    scanner.feed("<b>" * 100_000 + "</i>" * 100_000 + "<div role='article'>" * 1000 + "</b>")
+    assert len(scanner.comments) == 1000 and len(scanner.open) == 99_999 and time.process_time() - began < 20

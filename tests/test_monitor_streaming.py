@@ -115,3 +115,26 @@ def test_dedup_within_watermark(spark):
         got.setdefault((r.client, r.event_type), []).append(hours[r.event_id % 100] if r.event_id != 200 else 0)
     assert set(got) == {(1, "a"), (2, "a"), (1, "b")} and len(got[1, "b"]) == 1
     assert sorted(got[1, "a"]) == sorted(got[2, "a"]) == [0, 200]
+
+
+def test_result_cache_reads_its_buckets_alone(spark, monkeypatch):
+    from moodframe.session import listed, scratch_path
+    monkeypatch.setattr(ss, "CACHE_EPOCHS", 3)
+    cache, out, schema = scratch_path(spark, "t-cache"), scratch_path(spark, "t-cache-out"), "_th long, text string, score int"
+    read = []
+    plain = ss.cached_scores
+
+    def seen(spark, folders, buckets, schema):
+        got = plain(spark, folders, buckets, schema)
+        read.append((set(buckets), {int(f.split("bucket=")[1].split("/")[0]) for f in got.inputFiles()}))
+        return got
+    monkeypatch.setattr(ss, "cached_scores", seen)
+    batches = [[(e * 100 + i, f"text {i + (e % 3)}") for i in range(12)] for e in range(7)] + [[(900, "text 3"), (901, None)]]
+    for e in [*range(8), 7, 4]:         # two of them run again
+        df = spark.createDataFrame(batches[e], "id long, text string")
+        ss.score_with_cache(df, e, cache, out, "text", F.length("text"), schema)
+    assert all(files <= buckets for buckets, files in read)
+    assert any(0 < len(buckets) <= 2 and files for buckets, files in read)      # the last batch: two buckets of all
+    assert any(n.startswith("upto=") for n in listed(spark, cache)) and all(len(ss.cache_folders(spark, cache, e)) <= 4 for e in range(9))
+    got = {r.id: r.score for r in ss.read_sink(spark, out, "id long, score int").collect()}
+    assert got == {i: None if t is None else len(t) for b in batches for i, t in b}

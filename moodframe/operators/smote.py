@@ -1,47 +1,20 @@
 """Synthetic minority rows on feature vectors (SMOTE).
 
-Neighbours are exact within a class, over all of its labelled rows. The rows
-that draws start from are the queries: queries and rows are dealt into blocks
-of their class, every pair of blocks is one group of at most BLOCK_ROWS^2
-distances, and gives the k nearest of its rows to each query; of those the k
-nearest are kept. No class passes through the driver or one task.
+Neighbours are exact within a class, over all of its labelled rows (see
+``pivots``). No class passes through the driver or one task.
 """
 from __future__ import annotations
 
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing as hz
+from .pivots import nearest, neighbours_in_class
 from .sampling import class_ranked
 
-BLOCK = 4_000_000       # numbers in a block of distances
-BLOCK_ROWS = 4096       # rows of a class in a block
-
-
-def nearest(start: np.ndarray, own: np.ndarray, matrix: np.ndarray, at: np.ndarray, ids: np.ndarray, k: int):
-    """(place in ``start``, place in ``matrix``, squared distance) of the k rows
-    nearest to each start but itself (``own`` and ``at`` number the rows),
-    nearest first, ties by id and number."""
-    query, row, dist = [], [], []
-    step = max(1, BLOCK // max(1, matrix.size))
-    for i in range(0, len(start), step):
-        far = ((start[i:i + step][:, None, :] - matrix[None, :, :]) ** 2).sum(axis=2)
-        for j, d in enumerate(far):
-            other = np.flatnonzero(at != own[i + j])
-            if len(other) > k:
-                other = other[~(d[other] > np.partition(d[other], k - 1)[k - 1])]
-            other = other[np.lexsort((at[other], ids[other], d[other]))][:k]
-            query.append(np.full(len(other), i + j))
-            row.append(other)
-            dist.append(d[other])
-    if not query:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-    return np.concatenate(query), np.concatenate(row), np.concatenate(dist)
-
 
 def neighbours(matrix: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     """The k nearest other rows of each of ``rows``, nearest first, ties by id."""
@@ -52,9 +25,11 @@ def smote(df: DataFrame, vec: str, label: str = "label", key: str = "doc_id", k:
     """(label, draw, vec): for every class as many synthetic rows as it lacks to
     the largest. Draw i takes a row of the class, one of its ``k`` nearest
     neighbours and a point between them, all by ``u01(label, i)``. A class of one
-    row gives none, rows without label or vector are left out."""
+    row gives none; rows without label or vector, or with a null or non-finite
+    number in it, are left out."""
     spark = df.sparkSession
-    rows = df.select(key, label, vec).where(F.col(label).isNotNull() & F.col(vec).isNotNull())
+    finite = F.forall(F.col(vec).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = df.select(key, label, vec).where(F.col(label).isNotNull() & F.col(vec).isNotNull() & finite)
     sizes = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count(F.lit(1))).collect()}
     lacks = {c: max(sizes.values()) - n for c, n in sorted(sizes.items()) if n > 1 and n < max(sizes.values())}
     schema = rows.select(label, F.lit(0).cast("long").alias("draw"), vec).schema
@@ -70,24 +45,7 @@ def smote(df: DataFrame, vec: str, label: str = "label", key: str = "doc_id", k:
             F.floor(u("smoten") * min(k, sizes[c] - 1)).cast("int").alias("near"), u("smoteg").alias("gap"))
     draws = reduce(DataFrame.unionByName, (drawn(c, need) for c, need in lacks.items()))
 
-    # the queries meet every block of their class
-    block = F.floor(F.col("at") / BLOCK_ROWS)
-    blocks = F.create_map(*(F.lit(x) for c in lacks for x in (c, -(-sizes[c] // BLOCK_ROWS))))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), blocks[F.col("c")].cast("long") - 1))
-    asked = draws.select("c", F.col("base").alias("at")).distinct().join(ranked.drop("id"), ["c", "at"]).select("c", "at", "v", block.alias("q"), every.alias("r")).toDF("c", "at", "v", "q", "r")
-    dealt = ranked.select("*", block.alias("r"), every.alias("q"))
-    kind = ranked.schema["c"].dataType.simpleString()
-    found = f"c {kind}, at long, far double, id {ranked.schema['id'].dataType.simpleString()}, other long"
-
-    def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({x: [] for x in ("c", "at", "far", "id", "other")})
-        at, ids = right["at"].to_numpy(), right["id"].to_numpy()
-        i, j, d = nearest(np.stack(left["v"].to_numpy()), left["at"].to_numpy(), np.stack(right["v"].to_numpy()), at, ids, k)
-        return pd.DataFrame({"c": left["c"].iloc[0], "at": left["at"].to_numpy()[i], "far": d, "id": ids[j], "other": at[j]})
-    met = asked.groupBy("c", "q", "r").cogroup(dealt.groupBy("c", "q", "r")).applyInPandas(near, found)
-    best = met.groupBy("c", F.col("at").alias("base")).agg(F.sort_array(F.collect_list(F.struct("far", "id", "other"))).alias("best"))
-    best = best.select("c", "base", F.transform(F.slice("best", 1, k), lambda x: x["other"]).alias("best"))
+    best = neighbours_in_class(ranked, draws.select("c", "base").distinct(), k)
     pairs = draws.join(best, ["c", "base"]).select("c", "draw", "gap", "base", F.get("best", F.col("near")).alias("other"))
     pairs = pairs.join(ranked.select("c", F.col("at").alias("base"), F.col("v").alias("a")), ["c", "base"])
     pairs = pairs.join(ranked.select("c", F.col("at").alias("other"), F.col("v").alias("b")), ["c", "other"])

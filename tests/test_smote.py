@@ -1,6 +1,7 @@
 """Synthetic minority rows."""
 import numpy as np
 
+from moodframe.operators import pivots as pv
 from moodframe.operators import smote as so
 
 
@@ -15,18 +16,18 @@ def test_draws_lie_between_near_neighbours(spark):
 
 
 def test_neighbours_are_exact_and_ties_go_by_id(monkeypatch):
-    monkeypatch.setattr(so, "BLOCK", 10)
+    monkeypatch.setattr(pv, "BLOCK", 10)
     m = np.array([[0.0], [1.0], [1.0], [-1.0], [5.0]])
     assert so.neighbours(m, np.array([9, 4, 3, 8, 1]), np.array([0, 4]), 3).tolist() == [[2, 1, 3], [2, 1, 0]]
 
 
 def test_all_rows_of_a_class_take_part(spark, monkeypatch):
-    monkeypatch.setattr(so, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(pv, "BLOCK_ROWS", 7)
     rng = np.random.default_rng(2)
     rows = [(i, 0, rng.integers(0, 9, 2).astype(float).tolist()) for i in range(260)] + [(1000 + i, 1, rng.integers(0, 9, 2).astype(float).tolist()) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, label int, vec array<double>")
     got = {r.draw: tuple(r.vec) for r in so.smote(df, "vec", k=3).collect()}
-    monkeypatch.setattr(so, "BLOCK_ROWS", 4096)
+    monkeypatch.setattr(pv, "BLOCK_ROWS", 4096)
     assert {r.draw: tuple(r.vec) for r in so.smote(df, "vec", k=3).collect()} == got and len(got) == 220
     ranked = {r["_rank"] - 1: r for r in so.class_ranked(df.where("label = 1"), "label", "doc_id", 42, "smote").collect()}
     u = lambda salt: so.hz.u01(so.F.lit(1), 42, salt, so.F.col("draw"))

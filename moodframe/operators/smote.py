@@ -28,8 +28,9 @@ def smote(df: DataFrame, vec: str, label: str = "label", key: str = "doc_id", k:
     row gives none; rows without label or vector, or with a null or non-finite
     number in it, are left out."""
     spark = df.sparkSession
-    finite = F.forall(F.col(vec).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = df.select(key, label, vec).where(F.col(label).isNotNull() & F.col(vec).isNotNull() & finite)
+    # the vectors are made once; all that follows reads them several times
+    rows = df.select(key, label, vec).where(F.col(label).isNotNull() & F.col(vec).isNotNull()).checkpoint()
+    rows = rows.where(F.forall(F.col(vec).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     sizes = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count(F.lit(1))).collect()}
     lacks = {c: max(sizes.values()) - n for c, n in sorted(sizes.items()) if n > 1 and n < max(sizes.values())}
     schema = rows.select(label, F.lit(0).cast("long").alias("draw"), vec).schema

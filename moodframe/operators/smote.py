@@ -25,18 +25,22 @@ def smote(df: DataFrame, vec: str, label: str = "label", key: str = "doc_id", k:
     """(label, draw, vec): for every class as many synthetic rows as it lacks to
     the largest. Draw i takes a row of the class, one of its ``k`` nearest
     neighbours and a point between them, all by ``u01(label, i)``. A class of one
-    row gives none; rows without label or vector, or with a null or non-finite
-    number in it, are left out."""
+    row gives none, rows without label or vector are left out. A vector with a null
+    or non-finite number counts as a row of its class, but nothing is drawn from
+    it."""
     spark = df.sparkSession
-    # the vectors are made once; all that follows reads them several times
-    rows = df.select(key, label, vec).where(F.col(label).isNotNull() & F.col(vec).isNotNull()).checkpoint()
-    rows = rows.where(F.forall(F.col(vec).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    rows = df.select(key, label, vec).where(F.col(label).isNotNull() & F.col(vec).isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count(F.lit(1))).collect()}
-    lacks = {c: max(sizes.values()) - n for c, n in sorted(sizes.items()) if n > 1 and n < max(sizes.values())}
+    lacks = {c: max(sizes.values()) - n for c, n in sorted(sizes.items()) if n < max(sizes.values())}
+    # the vectors of these classes are made once; all that follows reads them several times
+    small = rows.where(F.col(label).isin(list(lacks))).checkpoint()
+    small = small.where(F.forall(F.col(vec).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    sizes = {r[0]: r[1] for r in small.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    lacks = {c: n for c, n in lacks.items() if sizes.get(c, 0) > 1}
     schema = rows.select(label, F.lit(0).cast("long").alias("draw"), vec).schema
     if not lacks:
         return spark.createDataFrame([], schema)
-    ranked = class_ranked(rows.where(F.col(label).isin(list(lacks))), label, key, seed, "smote")
+    ranked = class_ranked(small.where(F.col(label).isin(list(lacks))), label, key, seed, "smote")
     ranked = ranked.select(F.col(label).alias("c"), (F.col("_rank") - 1).cast("long").alias("at"), F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")).checkpoint()
 
     def drawn(c, need):

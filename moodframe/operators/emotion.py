@@ -14,21 +14,20 @@ def emotion_scores(text: Column, lang: str = "en") -> Column:
     Per emotion, the number of its keywords that occur as substrings of the
     lower-cased text, times 1.2 when the text has '!'; scores are divided by
     their sum (sum 0 -> all 0). Keys follow the keyword-dictionary order."""
-    low = F.lower(text)
-    mult = F.when(F.instr(low, "!") > 0, F.lit(1.2)).otherwise(F.lit(1.0))
     kws = lx.keywords(lang)
-    raw = []
-    for e, words in kws.items():
-        hits = None
-        for w in words:
-            h = F.when(F.instr(low, w) > 0, 1).otherwise(0)
-            hits = h if hits is None else hits + h
-        raw.append((e, hits.cast("double") * mult))
-    total = None
-    for _, s in raw:
-        total = s if total is None else total + s
-    denom = F.when(total == 0, F.lit(1.0)).otherwise(total)
-    return F.create_map(*[x for e, s in raw for x in (F.lit(e), s / denom)])
+
+    def raw(low: Column) -> Column:
+        mult = F.when(F.instr(low, "!") > 0, F.lit(1.2)).otherwise(F.lit(1.0))
+        hits = [sum((F.when(F.instr(low, w) > 0, 1).otherwise(0) for w in words), F.lit(0)) for words in kws.values()]
+        return hz.let(mult, lambda m: F.array(*[h.cast("double") * m for h in hits]))
+    # each step bound once: inside a lambda or a map nothing is shared by itself
+    return hz.let(hz.let(F.lower(text), raw), lambda r: F.map_from_arrays(F.array(*[F.lit(e) for e in kws]), normalised(r)))
+
+
+def normalised(values: Column) -> Column:
+    """An array divided by its sum; a sum of 0 divides by 1."""
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return hz.let(total, lambda t: F.transform(values, lambda x: x / F.when(t == 0, F.lit(1.0)).otherwise(t)))
 
 
 def _ranked(scores: Column, emotions) -> Column:

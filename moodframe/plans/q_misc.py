@@ -73,9 +73,9 @@ def y5_y8_filter_and_normalise_map(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).otherwise(1).alias("label"))
     s = d.join(lab, "doc_id").withColumn("scores", em.emotion_scores(F.col("text")))
     sent_map = F.create_map(*[x for e, _, st, _, _ in lx.EMOTION_MAPPING for x in (F.lit(e), F.lit(st))])
-    kept = s.withColumn("kept", F.map_filter("scores", lambda k, v: F.element_at(sent_map, k) == F.col("label")))
-    tot = F.aggregate(F.map_values("kept"), F.lit(0.0), lambda a, x: a + x)
-    norm = kept.withColumn("norm", F.transform_values("kept", lambda k, v: v / F.when(tot == 0, F.lit(1.0)).otherwise(tot)))
+    kept = F.map_filter("scores", lambda k, v: F.element_at(sent_map, k) == F.col("label"))
+    # a value read inside a lambda is bound first, else it is worked out per entry
+    norm = s.withColumn("norm", hz.let(kept, lambda m: F.map_from_arrays(F.map_keys(m), em.normalised(F.map_values(m)))))
     return round_doubles(norm.select("doc_id", F.size("norm").alias("n_valid"), F.array_max(F.map_values("norm")).alias("top_share")))
 
 

@@ -66,20 +66,19 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", "text")
 
 
-def _model(docs, terms, k, min_df, max_df, name):
+def word_model(spark, sf_dir, n_max=3, k=2000, min_df=2, max_df=0.95):
     """The counts of vocabulary terms, and the vocabulary: a small table, written
     once because several steps read it."""
-    vocab = materialize(tf.vocabulary(tf.term_stats(docs, terms), docs.count(), k, min_df, max_df), name)
-    return tf.term_counts(docs, "doc_id", terms, vocab), vocab
-
-
-def word_model(spark, sf_dir, n_max=3, k=2000, min_df=2, max_df=0.95):
-    toks = _docs(spark, sf_dir).select("doc_id", tf.word_tokens(F.col("text")).alias("toks"))
-    return _model(toks, tf.word_ngrams(F.col("toks"), 1, n_max), k, min_df, max_df, "word-vocabulary")
+    docs = _docs(spark, sf_dir)
+    toks = docs.select("doc_id", tf.word_tokens(F.col("text")).alias("toks"))
+    vocab = materialize(tf.word_vocabulary(toks, F.col("toks"), docs.count(), k, min_df, max_df, n_max), "word-vocabulary")
+    return tf.term_counts(toks, "doc_id", F.col("toks"), vocab), vocab
 
 
 def char_model(spark, sf_dir, k=500):
-    return _model(_docs(spark, sf_dir), tf.char_ngrams(F.col("text")), k, 1, 1.0, "char-vocabulary")
+    docs = _docs(spark, sf_dir)
+    vocab = materialize(tf.char_vocabulary(docs, F.col("text"), docs.count(), k), "char-vocabulary")
+    return tf.term_counts(docs, "doc_id", tf.squeezed(F.col("text")), vocab), vocab
 
 
 @register("m1_word_tfidf", _vocab_sql(_word_cte(3), 2000, 2, 0.95) + "\n" + WEIGHTS_SELECT)

@@ -12,6 +12,7 @@ and ``\\s`` mean different things in Java, RE2 and Python.
 """
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import hashing as hz
 from . import lexicon as lx
 
 # Whitespace as Python's str.split()/isspace() sees it.
@@ -27,6 +29,7 @@ WS_RUN = f"[{WS}]+"
 TAG = r"<[^>]+>"
 NON_WORD = rf"[^\p{{L}}\p{{N}}_{WS}]"
 DIGIT_UNDERSCORE = r"[\p{Nd}_]+"
+BETWEEN_WORDS = r"[^\p{L}\p{Nl}\p{No}]+"     # what X3, X4 and the split take away, in one
 NEEDS_NFC = r"[^\x{0}-\x{2FF}]"
 
 # FIXED VALUES: letters that mark a text as Vietnamese.
@@ -54,11 +57,10 @@ def _nfc_udf(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def _nfkd_strip_udf(s: pd.Series) -> pd.Series:
-    def strip(x):
-        if not isinstance(x, str):
-            return None
-        return "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch))
-    return s.map(strip)
+    def strip(run: re.Match) -> str:
+        return "".join(ch for ch in unicodedata.normalize("NFKD", run[0]) if not unicodedata.combining(ch))
+    # ASCII stays and no mark moves across it
+    return s.map(lambda x: re.sub(r"[^\x00-\x7F]+", strip, x) if isinstance(x, str) else None)
 
 
 def _c(c) -> Column:
@@ -113,13 +115,23 @@ def split_contractions(tokens: Column) -> Column:  # X6 (en)
     return F.flatten(F.transform(tokens, lambda t: F.coalesce(F.element_at(m, t), F.array(t))))
 
 
+def split_contractions_in(words: Column) -> Column:
+    """X6 on lower-cased words with a space between them."""
+    def split(s: Column) -> Column:
+        heads = "|".join(f"{a}(?={b}(?![^ ]))" for a, b in lx.EN_CONTRACTIONS.values())
+        any_ = None
+        for k in lx.EN_CONTRACTIONS:
+            any_ = s.contains(k) if any_ is None else any_ | s.contains(k)
+        return F.when(any_, F.regexp_replace(s, f"(?<![^ ])({heads})", "$1 ")).otherwise(s)
+    return hz.let(words, split)
+
+
 def remove_stop_words(tokens: Column, lang: str = "en", compat: bool = False,
                       compounds=None) -> Column:   # X7 + X8
     if lang != "vi":
         if compat:
             return F.filter(tokens, lambda t: ~F.lit(lx.EN_STOP_WORDS_COMPAT).contains(t))
-        sw = F.array(*[F.lit(w) for w in lx.EN_STOP_WORDS])
-        return F.filter(tokens, lambda t: ~F.array_contains(sw, t))
+        return F.filter(tokens, lambda t: ~t.isin(lx.EN_STOP_WORDS))
     sw = F.array(*[F.lit(w) for w in lx.VI_STOP_WORDS])
     cmp = F.array(*[F.lit(w) for w in (compounds if compounds is not None else VI_COMPOUNDS)])
     # Neighbours are zipped in first, so the lambdas below reference only
@@ -141,11 +153,10 @@ def remove_stop_words(tokens: Column, lang: str = "en", compat: bool = False,
 
 
 def clean_tokens(c, lang: str = "en", compat: bool = False) -> Column:
-    x = digits_to_space(non_word_to_space(nfc(strip_tags(c))))
-    tokens = split_ws(F.lower(x))
+    words = F.lower(F.regexp_replace(nfc(strip_tags(c)), BETWEEN_WORDS, " "))
     if lang != "vi":
-        tokens = split_contractions(tokens)
-    return remove_stop_words(tokens, lang, compat)
+        words = split_contractions_in(words)
+    return remove_stop_words(F.filter(F.split(words, " "), lambda t: t != ""), lang, compat)
 
 
 def clean_text(c, lang: str = "en", compat: bool = False) -> Column:

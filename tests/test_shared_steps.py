@@ -1,10 +1,7 @@
 """Steps that are worked out once for a text."""
 from pyspark.sql import functions as F
 
-from moodframe.functions import features as fx
-from moodframe.functions import text as tx
 from moodframe.operators import emotion as em
-from moodframe.operators import synthesize as sy
 
 
 def _plan(df) -> str:
